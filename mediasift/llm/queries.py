@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
-from . import components, copies, hamming, leakage, mixing, survivors
+from . import components, copies, hamming, leakage, mixing, sentences, survivors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -84,5 +84,13 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.draw_mix(docs, mixing.plan_mix(docs, table(spark, d, "mix_targets")))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.split_sentences(table(spark, d, "documents")).select("doc_id", "end_pos")
+
+
+def p8_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.split_sentences(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
