@@ -28,3 +28,14 @@ BLANKS = r"[\s\u00a0\u1680\u2000-\u200b\u202f\u205f\u3000\ufeff]"
 def blank_trim(c: Column) -> Column:
     """Without blanks of any kind (tabs, line breaks, no-break spaces) at both ends."""
     return F.regexp_replace(c, f"^{BLANKS}+|{BLANKS}+$", "")
+
+
+_MARKED = [chr(c) for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(c))) > 1 and unicodedata.normalize("NFD", chr(c))[0].isascii()]
+#: Latin letters with marks and the letters they are built on, by rule; then strokes and ligatures that have no decomposition.
+MARKED = "".join(_MARKED) + "øØłŁđĐ"
+UNMARKED = "".join(unicodedata.normalize("NFD", c)[0] for c in _MARKED) + "oOlLdD"
+
+
+def fold_marks(c: Column) -> Column:
+    """Latin letters without accents; loose combining marks dropped."""
+    return F.regexp_replace(F.translate(c, MARKED, UNMARKED), r"[\u0300-\u036f]", "")
