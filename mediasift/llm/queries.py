@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
-from . import components, copies, hamming, leakage, mixing, sentences, survivors
+from . import components, copies, hamming, leakage, mixing, names, sentences, survivors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,6 +49,14 @@ def p3_survivors(spark: SparkSession, d: str) -> DataFrame:
     return _survivors(spark, d)
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.name_pairs(table(spark, d, "contacts"), table(spark, d, "contact_groups"))
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    return names.link_names(table(spark, d, "contacts"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return hamming.near_assets(table(spark, d, "phash_entries"))
 
