@@ -2,14 +2,49 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "flagship"
-_QUERIES: dict = {}
-_SQL: dict = {}
+import importlib
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def queries() -> dict:
+FLAGSHIP = "grf_07"
+MODULES = ["catalog", "contacts", "similarity", "sequences", "selection", "incremental"]
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+class Tables:
+    """Tables of a data folder by name."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+
+def query(name: str, sql: str | None = None):
+    """Registers ``f(tables)`` under ``name``, with the SQL that gives the same rows."""
+
+    def add(f):
+        _QUERIES[name] = lambda spark, folder: f(Tables(spark, folder))
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    for m in MODULES:
+        importlib.import_module(f"{__name__}.{m}")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
-def oracle_sql() -> dict:
+def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
