@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Digits that phone keys fold, and characters that may separate them.
 DEVANAGARI = "०१२३४५६७८९"
-PHONE_SEPARATORS = r" \t \-()."
-NAME_BLANKS = r"[\s   -     　\u0085]"
+PHONE_SEPARATORS = r" \t\u00a0\-()."
+NAME_BLANKS = r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def fold_phone_digits(c: Column) -> Column:
@@ -48,10 +48,13 @@ def name_key(c: Column) -> Column:
 
 
 _LOW = 0xFFFFFFFF
+#: Fixed value: the multiplier of the digest. It is 2^44 + 435, not the 2^40 + 435 of
+#: published FNV-1a, so digests agree with those of existing group identifiers, not with FNV test vectors.
+FNV_MULTIPLIER = 0x1000000001B3
 
 
 def fnv1a(c: Column) -> Column:
-    """HSH-01: 64-bit FNV-1a over UTF-8, as a signed number with the same bits.
+    """HSH-01: 64-bit FNV-1a (with ``FNV_MULTIPLIER``) over UTF-8, as a signed number with the same bits.
 
     The 64-bit product is taken in two halves, so nothing leaves the range of a bigint.
     """
@@ -61,8 +64,8 @@ def fnv1a(c: Column) -> Column:
     def step(h: Column, byte: Column) -> Column:
         x = h.bitwiseXOR(byte)
         low, high = x.bitwiseAND(F.lit(_LOW)), F.shiftrightunsigned(x, 32)
-        product = low * 0x1B3
-        upper = (high * 0x1B3 + low * 0x100 + F.shiftrightunsigned(product, 32)).bitwiseAND(F.lit(_LOW))
+        product = low * (FNV_MULTIPLIER & _LOW)
+        upper = (high * (FNV_MULTIPLIER & _LOW) + low * (FNV_MULTIPLIER >> 32) + F.shiftrightunsigned(product, 32)).bitwiseAND(F.lit(_LOW))
         return F.shiftleft(upper, 32).bitwiseOR(product.bitwiseAND(F.lit(_LOW)))
 
     seed = F.lit(0xCBF29CE484222325 - (1 << 64)).cast("bigint")
