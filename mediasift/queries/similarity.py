@@ -1 +1,279 @@
-"""Queries."""
+"""Queries over buckets, pairs, groups and pixel measures."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import bucketing as B
+from ..operators import catalog as C
+from ..operators import sharpness as S
+from ..operators import similarity as M
+from ..scratch import Scratch
+from . import query
+from .catalog import _ASPECT
+
+_ONE = "SELECT DISTINCT * FROM assets WHERE id IS NOT NULL"
+_ELIGIBLE_ROWS = f"SELECT id, created, duration, media_type AS route, {_ASPECT} AS aspect, CASE WHEN media_type = 'video' THEN coalesce(round(duration / 0.1)::BIGINT, 0) ELSE -1 END AS span FROM ({_ONE}) WHERE media_type = 'video' OR media_type = 'image' AND width >= 1 AND height >= 1"
+_CHAINS = f"""
+WITH e AS ({_ELIGIBLE_ROWS}), t AS (SELECT *, coalesce(epoch_us(created), -4611686018427387904) AS t FROM e),
+g AS (SELECT *, lag(t) OVER (PARTITION BY route, aspect, span ORDER BY t, id) AS prev FROM t),
+c AS (SELECT *, sum(CASE WHEN prev IS NULL THEN 0 WHEN prev = -4611686018427387904 THEN CASE WHEN t <> prev THEN 1 ELSE 0 END WHEN t - prev > 600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY route, aspect, span ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS chain FROM g)
+"""
+_KEYS = ["route", "aspect", "span"]
+
+
+def keyed(t) -> DataFrame:
+    routed = C.first_rows(t.assets).withColumn("route", C.eligibility()).where("route IN ('image', 'video')")
+    return routed.withColumn("aspect", C.aspect_key()).withColumn("span", F.when(F.col("route") == "video", F.coalesce(C.duration_key(), F.lit(0))).otherwise(F.lit(-1)))
+
+
+def bucketed(t) -> DataFrame:
+    s = Scratch(t.spark, "buckets")
+    return s.write(B.buckets(t.assets, s))
+
+
+@query("agg_07", f"SELECT route, aspect, span, count(*) AS n FROM ({_ELIGIBLE_ROWS}) GROUP BY ALL")
+def agg_07(t):
+    return keyed(t).groupBy(*_KEYS).agg(F.count("*").alias("n")).withColumn("span", F.col("span").cast("bigint"))
+
+
+@query("win_01", _CHAINS + "SELECT id, route, aspect, chain::BIGINT AS chain FROM c")
+def win_01(t):
+    return B.chains(keyed(t), _KEYS, Scratch(t.spark, "chains")).select("id", "route", "aspect", "chain")
+
+
+@query("win_02")
+def win_02(t):
+    """Chains cut into pieces of at most four."""
+    s = Scratch(t.spark, "pieces")
+    return B.split_chains(B.chains(keyed(t), _KEYS, s, 86_400.0 * 30), _KEYS, s, 4).groupBy(*_KEYS, "chain", "piece").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+
+
+_BUCKETS = _CHAINS + ", b AS (SELECT route, aspect, span, chain, count(*) AS n, arg_min(id, (t, id)) AS first_id FROM c GROUP BY ALL)"
+
+
+@query("win_03", _BUCKETS + "SELECT 'a' || aspect || '-' || n || '-' || first_id AS bucket_id, n FROM b WHERE route = 'image'")
+def win_03(t):
+    """Photo buckets, largest first. No chain of these tables is longer than a bucket may be."""
+    return bucketed(t).where("route = 'image'").groupBy("bucket_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "bucket_id")
+
+
+@query("win_04", _BUCKETS + "SELECT 'v' || aspect || '-d' || span || '-' || n || '-' || first_id AS bucket_id, n FROM b WHERE route = 'video'")
+def win_04(t):
+    return bucketed(t).where("route = 'video'").groupBy("bucket_id").agg(F.count("*").alias("n"))
+
+
+@query("srt_03", _BUCKETS + "SELECT n, count(*) AS buckets FROM b GROUP BY n ORDER BY n DESC")
+def srt_03(t):
+    return bucketed(t).groupBy("bucket_id").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("buckets")).orderBy(F.desc("n"))
+
+
+@query("agg_11", _BUCKETS + "SELECT sum(n * (n - 1) / 2)::BIGINT AS pairs, (sum(n) * (sum(n) - 1) / 2)::BIGINT AS all_pairs, count(*) AS buckets, max(n) AS largest FROM b")
+def agg_11(t):
+    return B.pair_bound(bucketed(t))
+
+
+_HASHED = """, h AS (SELECT asset_id AS id, arg_max(bits, (coalesce(modified, TIMESTAMP '0001-01-01'), bits)) AS bits FROM phash_entries WHERE bits IS NOT NULL GROUP BY asset_id)
+, hb AS (SELECT c.*, h.bits FROM c JOIN h USING (id))
+, p AS (SELECT x.route, x.aspect, x.span, x.chain, x.id AS a, y.id AS b, bit_count(xor(x.bits, y.bits))::INT AS distance FROM hb x JOIN hb y ON x.route = y.route AND x.aspect = y.aspect AND x.span = y.span AND x.chain = y.chain AND x.id < y.id)
+"""
+
+
+def hashed(t) -> DataFrame:
+    latest = t.phash_entries.where("bits IS NOT NULL AND asset_id IS NOT NULL").groupBy(F.col("asset_id").alias("id")).agg(F.max(F.struct("modified", "bits")).alias("h")).select("id", F.col("h.bits").alias("bits"))
+    return bucketed(t).join(latest, "id")
+
+
+@query("joi_01", _CHAINS + _HASHED + "SELECT a, b FROM p")
+def joi_01(t):
+    return M.bucket_pairs(hashed(t), []).select("a", "b")
+
+
+@query("mth_01", _CHAINS + _HASHED + "SELECT a, b, distance FROM p")
+def mth_01(t):
+    return M.bucket_pairs(hashed(t), ["bits"]).select("a", "b", M.hamming(F.col("bits_a"), F.col("bits_b")).alias("distance"))
+
+
+@query("flt_12", _CHAINS + _HASHED + "SELECT a, b FROM p WHERE distance <= 16")
+def flt_12(t):
+    return M.bucket_pairs(hashed(t), ["bits"]).where(M.hamming(F.col("bits_a"), F.col("bits_b")) <= 16).select("a", "b")
+
+
+@query("srt_04", _CHAINS + _HASHED + "SELECT a, b, distance FROM p WHERE distance <= 16 ORDER BY distance, a, b")
+def srt_04(t):
+    return M.bucket_pairs(hashed(t), ["bits"]).withColumn("distance", M.hamming(F.col("bits_a"), F.col("bits_b"))).where("distance <= 16").select("a", "b", "distance").orderBy("distance", "a", "b")
+
+
+@query("grf_04")
+def grf_04(t):
+    relations = M.bucket_pairs(hashed(t), ["bits"]).withColumn("distance", M.hamming(F.col("bits_a"), F.col("bits_b")) / 64.0).where("distance <= 0.25")
+    return M.link_groups(relations).select("bucket_id", F.array_join("member_ids", ",").alias("members"), F.round("min_distance", 6).alias("min_distance"), F.round("max_distance", 6).alias("max_distance"))
+
+
+#: Vectors are compared within blocks of their label, as assets are within buckets.
+_BLOCKS = "SELECT vec_id, embedding, label || '-' || (vec_id // 640) AS bucket_id FROM embeddings"
+_VECTORS = f"WITH e AS ({_BLOCKS}), p AS (SELECT x.bucket_id, x.vec_id AS a, y.vec_id AS b, round(list_distance(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) AS distance FROM e x JOIN e y ON x.bucket_id = y.bucket_id AND x.vec_id < y.vec_id)"
+
+
+def vectors(t) -> DataFrame:
+    blocks = t.embeddings.select(F.col("vec_id").alias("id"), "embedding", F.concat_ws("-", F.col("label").cast("string"), F.floor(F.col("vec_id") / 640).cast("string")).alias("bucket_id"))
+    return M.bucket_pairs(blocks, ["embedding"]).select("bucket_id", "a", "b", F.round(M.euclidean(F.col("embedding_a"), F.col("embedding_b")), 6).alias("distance"))
+
+
+@query("mth_02", _VECTORS + "SELECT a, b, distance FROM p")
+def mth_02(t):
+    return vectors(t).select("a", "b", "distance")
+
+
+@query("joi_12", _VECTORS + "SELECT bucket_id, a, b FROM p WHERE distance <= 1.2")
+def joi_12(t):
+    return vectors(t).where("distance <= 1.2").select("bucket_id", "a", "b")
+
+
+@query("flt_13", _VECTORS + "SELECT a, b FROM p WHERE distance <= 1.3")
+def flt_13(t):
+    return vectors(t).where("distance <= 1.3").select("a", "b")
+
+
+@query("agg_13", _VECTORS + "SELECT bucket_id, min(distance) AS min_distance, max(distance) AS max_distance FROM p WHERE distance <= 1.2 GROUP BY bucket_id")
+def agg_13(t):
+    return vectors(t).where("distance <= 1.2").groupBy("bucket_id").agg(F.min("distance").alias("min_distance"), F.max("distance").alias("max_distance"))
+
+
+@query("agg_14", "SELECT vec_id, round(list_avg(embedding::DOUBLE[]), 6) AS mean, round(list_var_pop(embedding::DOUBLE[]), 6) AS variance FROM embeddings")
+def agg_14(t):
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    n = F.size("embedding")
+    mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / n
+    variance = F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / n
+    return t.embeddings.select("vec_id", F.round(mean, 6).alias("mean"), F.round(variance, 6).alias("variance"))
+
+
+@query("agg_15", "SELECT vec_id, round(((s[n // 2] + s[n // 2 + 1]) / 2.0)::DOUBLE, 6) AS median, round(s[((n - 1) * 0.9)::DOUBLE::INT - CASE WHEN ((n - 1) * 0.9)::DOUBLE::INT > (n - 1) * 0.9 THEN 1 ELSE 0 END + 1]::DOUBLE, 6) AS p90 FROM (SELECT vec_id, list_sort(embedding::DOUBLE[]) AS s, len(embedding) AS n FROM embeddings)")
+def agg_15(t):
+    s = F.array_sort(F.transform("embedding", lambda v: v.cast("double")))
+    n = F.size("embedding")
+    at = lambda i: F.get(s, i.cast("int"))
+    return t.embeddings.select("vec_id", F.round((at(F.floor(n / 2) - 1) + at(F.floor(n / 2))) / 2, 6).alias("median"), F.round(at(F.floor((n - 1) * 0.9)), 6).alias("p90"))
+
+
+@query("mth_07", "SELECT label, CASE WHEN label % 2 = 0 THEN 0.2 ELSE 0.15 END::DOUBLE AS threshold, count(*) AS n FROM embeddings GROUP BY label")
+def mth_07(t):
+    """The threshold that belongs to a kind of vector; even labels stand for one kind, odd for the other."""
+    from ..config import Similarity
+
+    return t.embeddings.groupBy("label").agg(F.count("*").alias("n")).select("label", F.when(F.col("label") % 2 == 0, F.lit(Similarity.vision_threshold)).otherwise(F.lit(Similarity.grid_threshold)).alias("threshold"), "n")
+
+
+def content(t) -> DataFrame:
+    text = F.encode("text", "UTF-8")
+    return t.documents.where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.octet_length("text").alias("bytes"), text.alias("content"), "source", "n_chars")
+
+
+@query("agg_05", "SELECT sha256(text) AS digest, count(DISTINCT doc_id) AS members, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(DISTINCT doc_id) > 1")
+def agg_05(t):
+    return M.exact_groups(M.colliding(content(t), ["bytes"]).withColumn("digest", F.sha2("content", 256)), ["digest"])
+
+
+@query("agg_06", "SELECT doc_id AS id FROM documents WHERE strlen(text) IN (SELECT strlen(text) FROM documents GROUP BY 1 HAVING count(*) > 1)")
+def agg_06(t):
+    return M.colliding(content(t).select("id", "bytes"), ["bytes"]).select("id")
+
+
+_NEAR = _CHAINS + _HASHED + ", z AS (SELECT p.*, x.size_bytes AS sa, y.size_bytes AS sb FROM p JOIN (" + _ONE + ") x ON x.id = a JOIN (" + _ONE + ") y ON y.id = b)"
+
+
+@query("grf_06", _NEAR + "SELECT a, b FROM z WHERE distance = 0 AND sa = sb")
+def grf_06(t):
+    """Pairs of a bucket that are exact copies: same pattern, then same size."""
+    return M.bucket_pairs(hashed(t), ["bits", "size_bytes"]).where("bits_a = bits_b AND size_bytes_a = size_bytes_b").select("a", "b")
+
+
+@query("grf_05", "WITH g AS (SELECT burst_id AS group_id, id FROM (" + _ONE + ") WHERE burst_id IS NOT NULL) SELECT group_id, string_agg(DISTINCT g.id, ',' ORDER BY g.id) AS members, arg_min(a.id, (NOT coalesce(is_favorite, false), coalesce(represents_burst, false), -coalesce(width::BIGINT * height, 0), NOT coalesce(has_adjustments, false), -epoch_us(coalesce(created, TIMESTAMP '0001-01-01')), a.id)) AS best_id FROM g JOIN (" + _ONE + ") a ON a.id = g.id GROUP BY group_id")
+def grf_05(t):
+    groups = t.assets.where("burst_id IS NOT NULL").groupBy(F.col("burst_id").alias("group_id")).agg(F.array_sort(F.collect_set("id")).alias("member_ids"))
+    return M.with_best(groups, t.assets).select("group_id", F.array_join("member_ids", ",").alias("members"), "best_id")
+
+
+@query("grf_07")
+def grf_07(t):
+    return M.similar_assets(t.assets, t.phash_entries).select("group_id", "kind", F.array_join("member_ids", ",").alias("members"), "best_id", F.round("min_distance", 6).alias("min_distance"), F.round("max_distance", 6).alias("max_distance"))
+
+
+@query("prj_14", _NEAR + "SELECT DISTINCT 'near:' || a || ',' || b AS group_id FROM z WHERE distance BETWEEN 1 AND 16")
+def prj_14(t):
+    pairs = M.bucket_pairs(hashed(t), ["bits"]).withColumn("d", M.hamming(F.col("bits_a"), F.col("bits_b"))).where("d BETWEEN 1 AND 16")
+    return pairs.select(F.concat(F.lit("near:"), F.array_join(F.array_sort(F.array("a", "b")), ",")).alias("group_id")).distinct()
+
+
+@query("srt_05", "SELECT kind, members FROM (SELECT 'exact' AS kind, string_agg(DISTINCT asset_id, ',' ORDER BY asset_id) AS members FROM phash_entries WHERE bits IS NOT NULL GROUP BY bits HAVING count(DISTINCT asset_id) > 1) ORDER BY kind, members")
+def srt_05(t):
+    g = t.phash_entries.where("bits IS NOT NULL").groupBy("bits").agg(F.array_sort(F.collect_set("asset_id")).alias("m")).where(F.size("m") > 1)
+    return g.select(F.lit("exact").alias("kind"), F.array_join("m", ",").alias("members")).orderBy("kind", "members")
+
+
+_MEASURES = "SELECT id, (height % 100) / 5000.0::DOUBLE AS laplacian, (width % 1000) / 8000.0::DOUBLE AS tenengrad, (duration % 10) / 10.0 + 0.05 AS luma_mean, 0.02 AS luma_std FROM (" + _ONE + ")"
+_VERDICT = "CASE WHEN luma_mean < 0.08 OR luma_std < 0.015 THEN 'insufficientInformation' WHEN laplacian >= 0.01 THEN 'sharp' WHEN laplacian <= 0.0005 AND tenengrad <= 0.05 THEN 'likelyBlurry' ELSE 'borderline' END"
+
+
+def measures(t) -> DataFrame:
+    """Stand-in focus measures made from the columns of the catalog, which has no pixels."""
+    return C.first_rows(t.assets).select("id", ((F.col("height") % 100) / 5000.0).alias("laplacian"), ((F.col("width") % 1000) / 8000.0).alias("tenengrad"), (F.col("duration") % 10 / 10.0 + 0.05).alias("luma_mean"), F.lit(0.02).alias("luma_std"))
+
+
+@query("mth_06", f"SELECT id, {_VERDICT} AS verdict FROM ({_MEASURES})")
+def mth_06(t):
+    return measures(t).select("id", S.verdict().alias("verdict"))
+
+
+@query("agg_12", f"SELECT verdict, count(*) AS n FROM (SELECT {_VERDICT} AS verdict FROM ({_MEASURES})) GROUP BY verdict")
+def agg_12(t):
+    return measures(t).groupBy(S.verdict().alias("verdict")).agg(F.count("*").alias("n"))
+
+
+@query("flt_09", f"SELECT id, verdict FROM (SELECT id, {_VERDICT} AS verdict FROM ({_MEASURES})) WHERE verdict IN ('likelyBlurry', 'borderline')")
+def flt_09(t):
+    return measures(t).select("id", S.verdict().alias("verdict")).where("verdict IN ('likelyBlurry', 'borderline')")
+
+
+@query("joi_08", f"SELECT id, verdict FROM (SELECT id, {_VERDICT} AS verdict FROM ({_MEASURES})) WHERE verdict = 'borderline' AND id NOT IN (SELECT asset_id FROM phash_entries WHERE asset_id IS NOT NULL)")
+def joi_08(t):
+    found = measures(t).select("id", S.verdict().alias("verdict")).where("verdict = 'borderline'")
+    return C.without(found, t.phash_entries.select(F.col("asset_id").alias("id")))
+
+
+def vector_grids(t, side: int) -> DataFrame:
+    """Square grids from the embedding values, repeated to the size asked for."""
+    n = side * side
+    return t.embeddings.select(F.col("vec_id").alias("id"), F.slice(F.flatten(F.array_repeat(F.transform("embedding", lambda v: (v + 1) / 2), n // 64 + 1)), 1, n).alias("luma"))
+
+
+@query("mth_05")
+def mth_05(t):
+    return S.sharpness(vector_grids(t, 32), side=32)
+
+
+@query("grf_08")
+def grf_08(t):
+    """Sharpness pass: measures, verdicts, and their counts."""
+    return S.sharpness(vector_grids(t, 32), side=32).groupBy(S.verdict().alias("verdict")).agg(F.count("*").alias("n"))
+
+
+@query("mth_03")
+def mth_03(t):
+    gray = F.slice(F.concat("embedding", "embedding"), 1, 72)
+    return t.embeddings.select("vec_id", S.difference_hash(gray).alias("bits"))
+
+
+@query("mth_04")
+def mth_04(t):
+    grids = t.embeddings.select(F.col("vec_id").alias("id"), F.slice(F.flatten(F.array_repeat("embedding", 12)), 1, 768).alias("rgb"))
+    v = S.descriptors(grids)
+    return v.select("id", F.size("values").alias("n"), F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 4).alias("length"))
+
+
+@query("mth_08", "SELECT vec_id, len(embedding)::INT AS n, label FROM embeddings")
+def mth_08(t):
+    """Feature vectors come as a column; this checks and passes them on."""
+    return t.embeddings.select("vec_id", F.size("embedding").alias("n"), "label")
