@@ -1 +1,62 @@
-"""Queries."""
+"""Queries over ordered progress and sessions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import progress as P
+from . import query
+
+
+def samples(t) -> DataFrame:
+    """Events as progress samples: each user is a run, the event type its stage."""
+    return t.events.select(F.col("user_id").alias("run"), F.col("event_type").alias("stage"), F.col("event_id").alias("completed"), F.lit(200_000).alias("total"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("elapsed"))
+
+
+@query("win_05")
+def win_05(t):
+    return P.rates(samples(t)).select("run", "stage", F.round("rate", 9).alias("rate"), "samples")
+
+
+@query("win_06")
+def win_06(t):
+    state, seconds = P.estimate()
+    return P.rates(samples(t)).select("run", state.alias("state"), seconds.alias("seconds"))
+
+
+@query("win_08", "SELECT event_id, user_id FROM events ORDER BY event_id")
+def win_08(t):
+    """The order of the source restored after work that loses it."""
+    return t.events.select("event_id", "user_id").repartition("user_id").orderBy("event_id")
+
+
+@query("win_09")
+def win_09(t):
+    """Decisions left after undos: the n-th undo from the end takes back the latest decision not yet taken back.
+
+    As balanced brackets: an error event undoes. Decisions whose height is not reached again by later undos stay.
+    """
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    step = F.when(F.col("event_type") == "error", -1).otherwise(1)
+    height = t.events.withColumn("step", step).withColumn("sum", F.sum("step").over(order))
+    # An undo with nothing to undo changes nothing: heights are counted from the lowest sum so far.
+    level = height.withColumn("level", F.col("sum") - F.least(F.lit(0), F.min("sum").over(order)))
+    later = order.rowsBetween(1, Window.unboundedFollowing)
+    kept = level.withColumn("low", F.min("level").over(later)).where("step = 1 AND (low IS NULL OR low >= level)")
+    return kept.groupBy("user_id").agg(F.count("*").alias("kept"))
+
+
+@query("win_10", "SELECT user_id, least(greatest(max(event_id) % 100 - 20, 0), count(*))::BIGINT AS cursor, CASE WHEN least(greatest(max(event_id) % 100 - 20, 0), count(*)) = count(*) THEN count(*) ELSE 0 END AS history, count(*) FILTER (event_type = 'error') AS deletes FROM events GROUP BY user_id")
+def win_10(t):
+    """A session restored: the cursor within its items, the history only where it fits, deletions counted again."""
+    s = t.events.groupBy("user_id").agg(F.count("*").alias("n"), (F.max("event_id") % 100 - 20).alias("saved"), F.count_if(F.col("event_type") == "error").alias("deletes"))
+    cursor = F.least(F.greatest("saved", F.lit(0)), "n")
+    return s.select("user_id", cursor.alias("cursor"), F.when(cursor == F.col("n"), F.col("n")).otherwise(F.lit(0)).alias("history"), "deletes")
+
+
+@query("fmt_01", "SELECT event_id, CASE WHEN s < 60 THEN s || ' s' WHEN round(s / 60.0) < 60 THEN round(s / 60.0)::BIGINT || ' min' ELSE (round(s / 60.0)::BIGINT // 60) || ' h ' || (round(s / 60.0)::BIGINT % 60) || ' min' END AS text FROM (SELECT event_id, (event_id % 20000) AS s FROM events)")
+def fmt_01(t):
+    return t.events.select("event_id", P.remaining_text(F.col("event_id") % 20000).alias("text"))
