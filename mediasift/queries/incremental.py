@@ -1 +1,150 @@
-"""Queries."""
+"""Queries over checkpoints, evidence and streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import catalog as C
+from ..scratch import Scratch
+from ..streaming import evidence as E
+from . import query
+
+_EVIDENCE = "SELECT asset_id AS id, modified, bits FROM phash_entries"
+
+
+def evidence(t) -> DataFrame:
+    return t.phash_entries.select(F.col("asset_id").alias("id"), "modified", "bits")
+
+
+@query("joi_04", f"SELECT DISTINCT e.id, e.modified, e.bits FROM ({_EVIDENCE}) e JOIN assets a ON a.id = e.id AND a.modified IS NOT DISTINCT FROM e.modified")
+def joi_04(t):
+    return E.reconcile(evidence(t), t.assets).distinct()
+
+
+@query("joi_05", f"SELECT DISTINCT e.id, e.bits % 4 AS verdict FROM ({_EVIDENCE}) e JOIN assets a ON a.id = e.id AND a.modified IS NOT DISTINCT FROM e.modified WHERE bits IS NOT NULL AND (bits % 4 NOT IN (1, -1) OR a.size_bytes IS NOT NULL)")
+def joi_05(t):
+    """Seeds of verdicts: candidates (remainder one) only with a score; the size stands for it."""
+    scored = t.assets.where("size_bytes IS NOT NULL").select("id", "modified")
+    seeds = E.reconcile(evidence(t).where("bits IS NOT NULL"), t.assets).withColumn("verdict", F.col("bits") % 4)
+    plain = seeds.where("verdict NOT IN (1, -1)")
+    return plain.unionByName(E.reconcile(seeds.where("verdict IN (1, -1)"), scored)).select("id", "verdict").distinct()
+
+
+@query("prf_02", "SELECT lang, arg_min(source, (rank, doc_id)) AS worst FROM (SELECT *, CASE source WHEN 'support_tickets' THEN 0 WHEN 'forum_posts' THEN 1 WHEN 'store_reviews' THEN 2 ELSE 3 END AS rank FROM documents WHERE source IS NOT NULL) GROUP BY lang")
+def prf_02(t):
+    """The first of the worst by a fixed ranking."""
+    rank = F.when(F.col("source") == "support_tickets", 0).when(F.col("source") == "forum_posts", 1).when(F.col("source") == "store_reviews", 2).otherwise(3)
+    return t.documents.where("source IS NOT NULL").groupBy("lang").agg(F.min_by("source", F.struct(rank, "doc_id")).alias("worst"))
+
+
+@query("prf_03", "SELECT conflict_id, max(kept) AS kept FROM (SELECT DISTINCT conflict_id, kept FROM merge_conflicts WHERE conflict_id > 40) GROUP BY conflict_id")
+def prf_03(t):
+    """Offered rows above a blocked sequence, the greatest of each key."""
+    offered = t.merge_conflicts.select("conflict_id", "kept")
+    return E.accept_newer(offered.where(F.lit(False)), offered, ["conflict_id"], ["kept"]).where("conflict_id > 40")
+
+
+@query("prf_04")
+def prf_04(t):
+    """The not yet reviewed part of a deck in a seeded order: the same for a seed, on any cluster."""
+    return t.assets.select("id", "created").distinct().where("created >= TIMESTAMP_NTZ '2022-01-01 00:00:00'").orderBy(F.xxhash64(F.lit(7), "id"))
+
+
+@query("stm_01", "SELECT media_type, count(*) AS n FROM assets GROUP BY media_type")
+def stm_01(t):
+    """A scan with an observed row count beside its result."""
+    observed, _ = E.progress(t.assets, "scan")
+    return observed.groupBy("media_type").agg(F.count("*").alias("n"))
+
+
+@query("stm_02", "SELECT date_trunc('hour', ts) AS hour, max(event_id) AS progress FROM events GROUP BY 1")
+def stm_02(t):
+    """Progress thinned to one report an interval, the greatest value of each."""
+    return t.events.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.max("event_id").alias("progress"))
+
+
+_LATEST = f"SELECT id, max(coalesce(epoch_us(modified), -1)) AS newest FROM ({_EVIDENCE}) WHERE id IS NOT NULL GROUP BY id"
+
+
+@query("stm_03", _LATEST)
+def stm_03(t):
+    """A file stream of evidence folded into the latest row of each asset."""
+    s = Scratch(t.spark, "stream")
+    evidence(t).where("id IS NOT NULL").repartition(4).write.parquet(f"{s.root}/in")
+    run = E.EvidenceStream(t.spark, f"{s.root}/in", f"{s.root}/out", f"{s.root}/checkpoint", evidence(t).schema, files_per_batch=2)
+    return run.run().select("id", F.coalesce(F.unix_micros(F.col("modified").cast("timestamp")), F.lit(-1)).alias("newest"))
+
+
+@query("stm_04", f"SELECT DISTINCT id FROM ({_EVIDENCE}) WHERE id IS NOT NULL")
+def stm_04(t):
+    """A run resumed: the second starts from the first one's checkpoint and reads only the new files."""
+    s = Scratch(t.spark, "resume")
+    rows = evidence(t).where("id IS NOT NULL")
+    run = E.EvidenceStream(t.spark, f"{s.root}/in", f"{s.root}/out", f"{s.root}/checkpoint", rows.schema)
+    rows.where("id < '8'").write.parquet(f"{s.root}/in")
+    run.run()
+    rows.where("id >= '8'").write.mode("append").parquet(f"{s.root}/in")
+    return run.run().select("id").distinct()
+
+
+@query("stm_05", "SELECT store_id, CASE WHEN min(trust_rank) <= 5 THEN 'similarity' WHEN min(trust_rank) <= 10 THEN 'blur' ELSE 'videoSizes' END AS resumed FROM stores GROUP BY store_id")
+def stm_05(t):
+    """Which of several unfinished kinds of work goes first, by a fixed priority."""
+    kind = F.when(F.col("trust_rank") <= 5, "similarity").when(F.col("trust_rank") <= 10, "blur").otherwise("videoSizes")
+    return t.stores.groupBy("store_id").agg(F.min_by(kind, F.col("trust_rank")).alias("resumed"))
+
+
+@query("stm_06", "SELECT event_id, user_id FROM events WHERE event_type = (SELECT arg_max(event_type, (ts, event_id)) FROM events)")
+def stm_06(t):
+    """Rows of the current generation only; the type of the last event stands for it."""
+    current = t.events.agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"))
+    return t.events.join(F.broadcast(current), "event_type").select("event_id", "user_id")
+
+
+@query("stm_08", "SELECT id, max(size_bytes) AS bytes FROM assets WHERE media_type = 'video' AND size_bytes IS NOT NULL AND id IS NOT NULL GROUP BY id")
+def stm_08(t):
+    """Sizes measured in small batches, the newest videos first, each batch published when done."""
+    s = Scratch(t.spark, "sizes")
+    videos = t.assets.where("media_type = 'video' AND size_bytes IS NOT NULL AND id IS NOT NULL").select("id", F.col("size_bytes").alias("bytes")).distinct()
+    videos.repartition(4).write.parquet(f"{s.root}/in")
+    run = E.EvidenceStream(t.spark, f"{s.root}/in", f"{s.root}/out", f"{s.root}/checkpoint", videos.schema, order=("bytes",), files_per_batch=2)
+    return run.run()
+
+
+@query("stm_09", "SELECT DISTINCT id, media_type FROM assets WHERE size_bytes IS NULL")
+def stm_09(t):
+    """The snapshot of the last completed run, as a new session restores it."""
+    from ..sources import sinks
+
+    folder = sinks.scratch_folder(t.spark, "restore")
+    sinks.SnapshotStore(t.spark, folder, 1).save(t.assets.where("size_bytes IS NULL").select("id", "media_type").distinct())
+    return sinks.SnapshotStore(t.spark, folder, 1).load_latest()
+
+
+@query("flt_19", "SELECT event_type, CASE WHEN event_type = 'error' THEN 'timedOut' WHEN event_type = 'view' THEN 'cloudOnly' WHEN event_type = 'click' THEN 'notFound' ELSE 'unknown' END AS reason, count(*) AS n FROM events GROUP BY 1")
+def flt_19(t):
+    """Codes classified into reasons, the first rule that fits."""
+    reason = F.when(F.col("event_type") == "error", "timedOut").when(F.col("event_type") == "view", "cloudOnly").when(F.col("event_type") == "click", "notFound").otherwise("unknown")
+    return t.events.groupBy("event_type").agg(F.count("*").alias("n")).select("event_type", reason.alias("reason"), "n")
+
+
+@query("snk_03", "SELECT count(*) AS assets, sum(size_bytes)::BIGINT AS bytes, count(*) = count(size_bytes) AS is_exact FROM assets")
+def snk_03(t):
+    """A one-row summary written and read back."""
+    from ..sources import sinks
+
+    store = sinks.SnapshotStore(t.spark, sinks.scratch_folder(t.spark, "summary"), 1)
+    store.save(C.size_summary(t.assets).select((F.col("measured") + F.col("unresolved")).alias("assets"), F.col("measured_bytes").alias("bytes"), "is_exact"))
+    return store.load_latest()
+
+
+@query("snk_04", "SELECT DISTINCT user_id, props, arg_max(event_type, (ts, event_id)) OVER (PARTITION BY user_id, props) AS decision FROM events")
+def snk_04(t):
+    """Review sessions saved by key: writes that follow each other leave the last decision of each item."""
+    from ..sources import sinks
+
+    store = sinks.SnapshotStore(t.spark, sinks.scratch_folder(t.spark, "sessions"), 1)
+    last = t.events.groupBy("user_id", "props").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("decision"))
+    store.save(last)
+    return store.load_latest()
