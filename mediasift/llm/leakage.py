@@ -183,14 +183,19 @@ def find_leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", i
     wanted = items.select(F.col(item_col).alias("item"), F.col(text).alias("body")).where("item IS NOT NULL AND body IS NOT NULL").distinct()
     out = None
     for block in _blocks(wanted, block_chars):
-        part = _find_block(docs, block, min_score, scratch)
+        part = _find_block(docs, block, min_score, scratch, _result(docs, wanted))
         out = part if out is None else out.unionByName(part)
     if out is None:
-        out = spark.createDataFrame([], "doc bigint, item bigint, score double, longest_run int, verbatim boolean")
+        out = spark.createDataFrame([], _result(docs, wanted))
     out = out.groupBy("doc", "item").agg(F.max("score").alias("score"), F.max("longest_run").alias("longest_run"), F.max("verbatim").alias("verbatim"))
     return out.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), F.round("score", 6).alias("score"), "longest_run", "verbatim")
 
 
+def _result(docs: DataFrame, items: DataFrame) -> str:
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    return f"doc {kind(docs, 'doc')}, item {kind(items, 'item')}, score double, longest_run int, verbatim boolean"
+
+
 def _blocks(items: DataFrame, chars: int) -> Iterator[list[tuple[int, str]]]:
     block, size = [], 0
     for row in items.toLocalIterator():
@@ -203,7 +208,7 @@ def _blocks(items: DataFrame, chars: int) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
-def _find_block(docs: DataFrame, rows: list[tuple[int, str]], min_score: float, scratch: Scratch) -> DataFrame:
+def _find_block(docs: DataFrame, rows: list[tuple[int, str]], min_score: float, scratch: Scratch, result: str) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     items = Items.of(rows)
     sent = sc.broadcast(items)
@@ -215,7 +220,8 @@ def _find_block(docs: DataFrame, rows: list[tuple[int, str]], min_score: float,
             keep = [bool(h) for h in hits]
             yield pd.DataFrame({"doc": pdf["doc"][keep], "body": pdf["body"][keep], "hits": [h for h in hits if h]})
 
-    held = scratch.write(docs.mapInPandas(scan, "doc bigint, body string, hits array<int>"))
+    kind = docs.schema["doc"].dataType.simpleString()
+    held = scratch.write(docs.mapInPandas(scan, f"doc {kind}, body string, hits array<int>"))
     # At most as many rows as the block has n-grams, which BLOCK_CHARS bounds.
     frequency = {r["g"]: r["n"] for r in held.select(F.explode("hits").alias("g")).groupBy("g").agg(F.count("*").alias("n")).toLocalIterator()}
     seeds = items.seeds(frequency)
@@ -227,5 +233,4 @@ def _find_block(docs: DataFrame, rows: list[tuple[int, str]], min_score: float,
             found = [x for d, t in zip(pdf["doc"], pdf["body"], strict=True) for x in _compare(d, t, known, start) if x[4] or x[2] >= min_score]
             yield pd.DataFrame(found, columns=["doc", "item", "score", "longest_run", "verbatim"])
 
-    seeded = held.where(F.arrays_overlap("hits", F.array(*[F.lit(g) for g in sorted(seeds)]))) if len(seeds) <= 50 else held
-    return seeded.mapInPandas(compare, "doc bigint, item bigint, score double, longest_run int, verbatim boolean")
+    return held.mapInPandas(compare, result)

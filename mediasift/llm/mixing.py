@@ -96,7 +96,7 @@ def plan_mix(documents: DataFrame, targets: DataFrame, size: str = "n_tokens") -
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     named = F.broadcast(wanted.select("source", F.lit(True).alias("wanted")))
-    sums = documents.join(named, "source", "left").groupBy(F.when(F.col("wanted"), F.col("source")).alias("source")).agg(F.sum(size).alias("n")).collect()
+    sums = documents.select("source", size).join(named, "source", "left").groupBy(F.when(F.col("wanted"), F.col("source")).alias("source")).agg(F.sum(size).alias("n")).collect()
     tokens = {r["source"]: int(r["n"] or 0) for r in sums}
     total = sum(tokens.values())
     fills = water_fill({k: v for k, v in tokens.items() if k is not None}, {r["source"]: r["share"] for r in rows}, {r["source"]: r["cap"] for r in rows}, total)
@@ -108,12 +108,13 @@ def draw_mix(documents: DataFrame, plan: DataFrame, id_col: str = "doc_id", seed
     """``documents`` rows that are in the mix with ``copies``: the whole epochs, and one more for a seeded part of the documents.
 
     The draw is a hash of seed and identifier, the same on every run and any
-    cluster. Documents without a planned source are left out.
+    cluster. Documents without a planned source are left out; a column ``copies`` of their own is replaced.
     """
     part = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rates = F.broadcast(plan.select("source", "epochs"))  # at most MAX_SOURCES rows, see plan_mix
-    drawn = documents.join(rates, "source").withColumn("copies", F.floor("epochs") + (part < F.col("epochs") - F.floor("epochs")).cast("bigint"))
-    return drawn.where("copies > 0").drop("epochs")
+    rates = F.broadcast(plan.select("source", F.col("epochs").alias("_mix_epochs")))  # at most MAX_SOURCES rows, see plan_mix
+    whole = F.floor("_mix_epochs")
+    drawn = documents.join(rates, "source").withColumn("copies", whole + (part < F.col("_mix_epochs") - whole).cast("bigint"))
+    return drawn.where("copies > 0").drop("_mix_epochs")
 
 
 def mix_report(documents: DataFrame, plan: DataFrame, size: str = "n_tokens", id_col: str = "doc_id", seed: int = 0) -> DataFrame:

@@ -36,7 +36,8 @@ BLANK = " \t   -​  　﻿\r\n\x0b\x0c\x85  "
 
 PARAGRAPH = re.compile(rf"(?:\r\n|[\n\r\x85 ])[ \t 　]*(?:\r\n|[\n\r\x85 ])[{BLANK}]*| [{BLANK}]*")
 SPACES = re.compile(f"[{BLANK}]+")
-EVENT = re.compile(f"[{HARD}{re.escape(SOFT)}]+|[“„«(\\[（「『【‘\"']")
+CLOSED_BY = {c: "".join(o for o, ends in OPENERS.items() if c in ends) for c in "".join(OPENERS.values())}
+PAIRED = re.compile("[" + re.escape("".join(OPENERS) + "".join(OPENERS.values()) + "\"'") + "]")
 MARKER = re.compile(rf"(?:\d{{1,2}}[.)]|[•‣◦·*–—-])[{BLANK}]+")
 TOKEN = re.compile(rf"[^{BLANK}(\[（“„«‘\"'「『]*$")
 PERIOD = re.compile(rf"(?<![^{BLANK}(\[（“„«‘\"'])([^{BLANK}(\[（“„«‘\"'.]{{1,24}}(?:\.[^{BLANK}.]{{1,3}})*)\.[{BLANK}]+([“„«\"'(\[¿¡]*)([^{BLANK}.,;:!?]+)")
@@ -48,6 +49,9 @@ THAI_GAP = re.compile(rf"(?<=[^{BLANK}])[{BLANK}]+(?=[^{BLANK}])")
 LATIN_THAI = re.compile(rf"([A-Za-z][\w.-]*)[{BLANK}]+([{THAI}]{{1,5}})")
 #: Three Latin words in a row after Thai are no name or measure but text of their own.
 LATIN_RUN = re.compile(rf"(?:[A-Za-z][\w.,'-]*[{BLANK}]+){{3}}")
+#: A short token, whether a period follows, and what comes after that.
+OWN = re.compile(rf"(?<![^\W_])([^\W_]{{1,5}})(?![^\W_])(?:(\.)(?:[{BLANK}]+|(?=,))(\S)?)?")
+INTRODUCES = re.compile(f"[^{HARD}!?]{{0,40}}?[:：][{BLANK}]*[“„«「『\"]")
 CAMEL = re.compile(r"[a-z]{1,2}[A-Z]")
 #: Words that make what follows a quotation part of its sentence, where letter case does not tell.
 REPORT = re.compile(rf"[{BLANK}]*(?:と|[^{BLANK}，。：:！？]{{1,24}}(?:问道|說道|说道|答道|喊道|問道)|(?:سأل|قال|أجاب|كتب)[{BLANK}]|[A-Z]\w+[{BLANK}](?:asked|said|wrote|replied|answered)\b)")
@@ -179,19 +183,20 @@ class _Document:
 
     def __init__(self, text: str, model: Model):
         self.text, self.model = text, model
-        self._own: dict[str, bool | None] = {}
+        self._own: dict[str, list[int]] | None = None
 
     def own_evidence(self, token: str) -> bool | None:
         """Whether the document itself shows ``token`` to be an abbreviation: unambiguous occurrences all of one kind, else None."""
-        if token not in self._own:
-            yes = no = 0
-            for m in re.finditer(rf"(?<![^\W_]){re.escape(token)}(?![^\W_])(\.?)(?:[{BLANK}]+(\S))?", self.text):
-                if not m.group(1):
-                    no += 1
-                elif m.group(2) and (m.group(2).islower() or m.group(2).isdigit() or m.group(2) == ","):
-                    yes += 1
-            self._own[token] = True if yes >= 2 and not no else False if no and not yes else None
-        return self._own[token]
+        if self._own is None:
+            self._own = {}
+            for m in OWN.finditer(self.text):
+                seen = self._own.setdefault(m.group(1), [0, 0])
+                if not m.group(2):
+                    seen[1] += 1
+                elif m.group(3) and (m.group(3).islower() or m.group(3).isdigit() or m.group(3) == ","):
+                    seen[0] += 1
+        yes, no = self._own.get(token, (0, 0))
+        return True if yes >= 2 and not no else False if no and not yes else None
 
     def abbreviation(self, token: str) -> bool:
         key = token.lower()
@@ -227,43 +232,39 @@ class _Document:
         return token.lower() not in self.model.abbreviations
 
     def spans(self, a: int, b: int) -> dict[int, int]:
-        """Outermost quotations and brackets of a paragraph: place of the opener -> place of its closer."""
-        text, out, at = self.text, {}, a
-        while m := EVENT.search(text, at, b):
-            at = m.end()
-            c = m.group()
-            if c in OPENERS:
-                close = self._closer(m.start(), c, b)
-            elif c in "\"'":
-                before = text[m.start() - 1] if m.start() > a else " "
-                fresh = SPACES.match(before) or before in "([（:："
-                close = self._straight(m.end(), c, b) if fresh else -1
-            else:
-                continue
-            if close > 0:
-                out[m.start()] = close
-                at = close + 1
+        """Outermost quotations and brackets of a paragraph: place of the opener -> place of its closer.
+
+        One pass with a stack; an opener without a closer in its paragraph is a mark like any other.
+        """
+        text, open_, waiting, found = self.text, [], Counter(), []
+        for m in PAIRED.finditer(text, a, b):
+            at, c = m.start(), m.group()
+            opener = self._opened_by(at, c, a, b, waiting)
+            if opener:
+                while True:
+                    start, mark = open_.pop()
+                    waiting[mark] -= 1
+                    if mark == opener:
+                        break
+                found.append((start, at))
+            elif c in OPENERS or c in "\"'" and (at == a or SPACES.match(text[at - 1]) or text[at - 1] in "([（:：") and at + 1 < b and not SPACES.match(text[at + 1]):
+                open_.append((at, c))
+                waiting[c] += 1
+        out, end = {}, -1
+        for start, at in sorted(found):
+            if start > end:
+                out[start] = end = at
         return out
 
-    def _closer(self, at: int, c: str, b: int) -> int:
-        ends, depth = OPENERS[c], 0
-        for i in range(at + 1, b):
-            x = self.text[i]
-            if x in ends and not (x == "’" and i + 1 < b and self.text[i + 1].isalnum()):
-                if not depth:
-                    return i
-                depth -= 1
-            elif x == c:
-                depth += 1
-        return -1
-
-    def _straight(self, at: int, c: str, b: int) -> int:
-        i = self.text.find(c, at, b)
-        while i > 0:
-            if not SPACES.match(self.text[i - 1]) and not (i + 1 < b and self.text[i + 1].isalnum()):
-                return i
-            i = self.text.find(c, i + 1, b)
-        return -1
+    def _opened_by(self, at: int, c: str, a: int, b: int, waiting: Counter) -> str | None:
+        """The waiting opener that the mark at ``at`` closes, if any."""
+        text = self.text
+        word_after = at + 1 < b and text[at + 1].isalnum()
+        if c in "\"'":
+            return c if waiting[c] and at > a and not SPACES.match(text[at - 1]) and not word_after else None
+        if c == "’" and word_after:
+            return None
+        return next((o for o in CLOSED_BY.get(c, "") if waiting[o]), None)
 
     def ends(self) -> Iterator[int]:
         for a, b in paragraphs(self.text):
@@ -380,8 +381,7 @@ class _Document:
 
     def _introduces(self, at: int, b: int) -> bool:
         """Whether a reporting clause leads to a further quotation, so that it belongs to that one."""
-        m = re.compile(f"[^{HARD}!?]{{0,40}}?[:：][{BLANK}]*[“„«「『\"]").match(self.text, at, b)
-        return m is not None
+        return INTRODUCES.match(self.text, at, b) is not None
 
     def _thai_gap(self, at: int, after: int, b: int) -> bool:
         text, model = self.text, self.model
