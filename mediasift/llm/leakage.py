@@ -218,7 +218,8 @@ def _find_block(docs: DataFrame, rows: list[tuple[int, str]], min_score: float,
         for pdf in batches:
             hits = [known.hits(t) for t in pdf["body"]]
             keep = [bool(h) for h in hits]
-            yield pd.DataFrame({"doc": pdf["doc"][keep], "body": pdf["body"][keep], "hits": [h for h in hits if h]})
+            if any(keep):
+                yield pd.DataFrame({"doc": pdf["doc"][keep], "body": pdf["body"][keep], "hits": pd.Series([h for h in hits if h], index=pdf.index[keep], dtype=object)})
 
     kind = docs.schema["doc"].dataType.simpleString()
     held = scratch.write(docs.mapInPandas(scan, f"doc {kind}, body string, hits array<int>"))
@@ -231,6 +232,7 @@ def _find_block(docs: DataFrame, rows: list[tuple[int, str]], min_score: float,
         known, start = sent.value, sent_seeds.value
         for pdf in batches:
             found = [x for d, t in zip(pdf["doc"], pdf["body"], strict=True) for x in _compare(d, t, known, start) if x[4] or x[2] >= min_score]
-            yield pd.DataFrame(found, columns=["doc", "item", "score", "longest_run", "verbatim"])
+            if found:
+                yield pd.DataFrame(found, columns=["doc", "item", "score", "longest_run", "verbatim"])
 
     return held.mapInPandas(compare, result)

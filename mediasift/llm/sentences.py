@@ -143,7 +143,8 @@ def learn(texts: DataFrame, column: str, scratch: Scratch) -> Model:
             if len(total) > 200_000:
                 yield _frame(total)
                 total = Counter()
-        yield _frame(total)
+        if total:
+            yield _frame(total)
 
     counts = scratch.write(texts.select(column).mapInPandas(scan, "kind string, key string, key2 string, n bigint").groupBy("kind", "key", "key2").agg(F.sum("n").alias("n")))
     totals = {r["kind"]: r["n"] for r in counts.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
@@ -162,11 +163,12 @@ def learn(texts: DataFrame, column: str, scratch: Scratch) -> Model:
     periods = counts.where("kind = 'period'").groupBy("key").agg(F.sum("n").alias("n"), by("low"), by("digit"), by("up"), by("open")).where(F.col("n") >= floor["period"])
     plain = counts.where("kind = 'plain'").select("key", F.col("n").alias("plain"))
     starters = counts.where((F.col("kind") == "start") & (F.col("n") >= floor["start"])).select(F.col("key").alias("key2"), F.lit(1).alias("starts"))
-    pairs = counts.where("kind = 'pair'").join(starters, "key2", "left").groupBy("key").agg(F.sum(F.col("n") * F.coalesce("starts", F.lit(0))).alias("starting"), F.sum("n").alias("pairs"))
-    rows = periods.join(plain, "key", "left").join(pairs, "key", "left").fillna(0, ["plain", "starting", "pairs"]).where((F.length("key") <= SHORT + 1) | F.col("key").contains(".") | (F.col("low") + F.col("digit") >= 0.5 * F.col("n")))
+    pairs = counts.where("kind = 'pair'").join(starters, "key2", "left").groupBy("key").agg(F.sum(F.col("n") * F.coalesce("starts", F.lit(0))).alias("starting"), F.sum("n").alias("pairs"), F.max(F.when(F.length("key2") > 1, F.col("n"))).alias("usual"))
+    rows = periods.join(plain, "key", "left").join(pairs, "key", "left").fillna(0, ["plain", "starting", "pairs", "usual"]).where((F.length("key") <= SHORT + 1) | F.col("key").contains(".") | (F.col("low") + F.col("digit") >= 0.5 * F.col("n")))
     for r in rows.collect():  # at most 1/SHARE["period"] rows
         inside = r["low"] + r["digit"] >= 0.5 * r["n"] or "." in r["key"]
-        title = len(r["key"]) <= SHORT and r["pairs"] >= 0.5 * r["n"] and r["starting"] < 0.2 * r["pairs"] and r["plain"] <= 0.2 * r["n"]
+        # A title stands before many different names, or before another abbreviation of one letter.
+        title = len(r["key"]) <= SHORT and r["pairs"] >= 0.5 * r["n"] and r["starting"] < 0.2 * r["pairs"] and r["plain"] <= 0.2 * r["n"] and r["usual"] <= 0.3 * r["pairs"]
         if inside or title:
             model.abbreviations[r["key"]] = r["up"] + r["open"] >= 0.1 * r["n"] and r["starting"] >= 0.5 * max(r["pairs"], 1)
         elif r["low"] + r["digit"] < 0.2 * r["n"]:
@@ -429,7 +431,8 @@ def split_sentences(documents: DataFrame, id_col: str = "doc_id", text: str = "t
                     m = SPACES.match(body, at)
                     rows.append((doc, no, m.end() if m else at, end))
                     at = end
-            yield pd.DataFrame(rows, columns=["doc", "no", "start", "end"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc", "no", "start", "end"])
 
     kind = docs.schema["doc"].dataType.simpleString()
     cut_rows = docs.mapInPandas(cut, f"doc {kind}, no int, start bigint, end bigint")
