@@ -92,16 +92,19 @@ class Items:
         return sorted(found)
 
     def seeds(self, frequency: dict[int, int]) -> dict[int, list[int]]:
-        """Seed number -> items: the rarest n-gram of each window of ``run`` units (of a shorter item, of all of it)."""
+        """Seed number -> items: of each window of ``run`` units (of a shorter item, of all of it) the rarest n-gram that any document has.
+
+        A document with the whole window has all its n-grams, so it has the seed.
+        """
         out: dict[int, set[int]] = defaultdict(set)
         for item, xs in self.texts.items():
             mode = self.modes[item]
             ids = [self.grams[mode][g] for g in _key(xs, mode)]
             wide = mode.run - mode.gram + 1
             for i in range(max(1, len(ids) - wide + 1)):
-                window = ids[i : i + wide]
+                window = [g for g in ids[i : i + wide] if g in frequency]  # others are in no document
                 if window:
-                    out[min(window, key=lambda g: (frequency.get(g, 0), g))].add(item)
+                    out[min(window, key=lambda g: (frequency[g], g))].add(item)
         return {g: sorted(v) for g, v in out.items()}
 
 
