@@ -1,9 +1,9 @@
 """Evaluation texts leaking into training text.
 
 Each test item is cut into n-grams. A scan of the corpus counts in how many
-documents each of those n-grams occurs; of every window of ``min_run`` units of an item
-the rarest n-gram becomes a seed, so a passage of that length always holds one, while
-boilerplate n-grams rarely do. Documents that hold a seed meet its items, and a
+documents each of those n-grams occurs. Rare ones become seeds, and of every window of
+an item that is long enough for a leak the rarest one, so a verbatim passage always holds a seed while
+boilerplate alone mostly does not. Documents that hold a seed meet its items, and a
 Smith-Waterman alignment around the seeds scores the copy: edited and
 paraphrased copies get a lower score, and the longest unbroken run is reported.
 
@@ -30,6 +30,8 @@ WORD = re.compile(r"[^\W_]+")
 HAN = re.compile("[㐀-䶿一-鿿豈-﫿\U00020000-\U0003134f]")
 #: Items are broadcast in blocks of at most this many characters; more blocks mean more scans, not fewer items.
 BLOCK_CHARS = 32_000_000
+#: An n-gram is rare up to this part of the documents that hold any n-gram of an item, and at least this number.
+RARE_SHARE, RARE_LEAST = 0.005, 20
 
 
 @dataclass(frozen=True)
@@ -91,20 +93,25 @@ class Items:
                 found.update(known[g] for g in _key(units(text, mode), mode) if g in known)
         return sorted(found)
 
-    def seeds(self, frequency: dict[int, int]) -> dict[int, list[int]]:
-        """Seed number -> items: of each window of ``run`` units (of a shorter item, of all of it) the rarest n-gram that any document has.
+    def seeds(self, frequency: dict[int, int], documents: int) -> dict[int, list[int]]:
+        """Seed number -> items.
 
-        A document with the whole window has all its n-grams, so it has the seed.
+        Of each window of ``run`` units that can be in a document, since all its n-grams are, the rarest
+        n-gram: a document with the whole window has it. And every n-gram that is rare in the corpus, which finds edited copies.
         """
+        rare = max(RARE_LEAST, RARE_SHARE * documents)
         out: dict[int, set[int]] = defaultdict(set)
         for item, xs in self.texts.items():
             mode = self.modes[item]
             ids = [self.grams[mode][g] for g in _key(xs, mode)]
             wide = mode.run - mode.gram + 1
-            for i in range(max(1, len(ids) - wide + 1)):
-                window = [g for g in ids[i : i + wide] if g in frequency]  # others are in no document
-                if window:
+            for i in range(len(ids) - wide + 1):
+                window = ids[i : i + wide]
+                if all(g in frequency for g in window):
                     out[min(window, key=lambda g: (frequency[g], g))].add(item)
+            for g in ids:
+                if 0 < frequency.get(g, 0) <= rare:
+                    out[g].add(item)
         return {g: sorted(v) for g, v in out.items()}
 
 
@@ -228,7 +235,7 @@ def _find_block(docs: DataFrame, rows: list[tuple[int, str]], min_score: float,
     held = scratch.write(docs.mapInPandas(scan, f"doc {kind}, body string, hits array<int>"))
     # At most as many rows as the block has n-grams, which BLOCK_CHARS bounds.
     frequency = {r["g"]: r["n"] for r in held.select(F.explode("hits").alias("g")).groupBy("g").agg(F.count("*").alias("n")).toLocalIterator()}
-    seeds = items.seeds(frequency)
+    seeds = items.seeds(frequency, held.count())
     sent_seeds = sc.broadcast(seeds)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
