@@ -31,7 +31,7 @@ HAN = re.compile("[㐀-䶿一-鿿豈-﫿\U00020000-\U0003134f]")
 #: Items are broadcast in blocks of at most this many characters; more blocks mean more scans, not fewer items.
 BLOCK_CHARS = 32_000_000
 #: An n-gram is rare up to this part of the documents that hold any n-gram of an item, and at least this number.
-RARE_SHARE, RARE_LEAST = 0.005, 20
+RARE_SHARE, RARE_LEAST = 0.003, 5
 
 
 @dataclass(frozen=True)
@@ -116,28 +116,33 @@ class Items:
 
 
 MATCH, MISMATCH, GAP = 2, -1, -1
-
-
-def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int]:
-    """Best Smith-Waterman score of two id arrays, and the longest run of equal units."""
-    doc_n = len(doc)
-    score = np.zeros(doc_n + 1, dtype=np.int32)
-    run = np.zeros(doc_n + 1, dtype=np.int32)
-    slope = np.arange(doc_n + 1, dtype=np.int32) * -GAP
-    best = longest = 0
-    for x in item:
-        same = doc == x
-        step = np.empty(doc_n + 1, dtype=np.int32)
-        step[0] = 0
-        np.maximum(score[:-1] + np.where(same, MATCH, MISMATCH), score[1:] + GAP, out=step[1:])
+#: Documents up to this many units are aligned whole, with so many items at once; longer ones around their seeds.
+WHOLE, AT_ONCE = 2000, 32
+
+
+def align(doc: np.ndarray, items: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Best Smith-Waterman score of ``doc`` with each item, and the longest run of equal units; all items at once, unit by unit."""
+    width, deep = len(doc) + 1, max(map(len, items))
+    # Shorter items are filled up with a unit that equals none, which can only lower later scores.
+    padded = np.full((deep, len(items)), -2, dtype=np.int64)
+    for k, item in enumerate(items):
+        padded[: len(item), k] = item
+    score, run = np.zeros((len(items), width), dtype=np.int32), np.zeros((len(items), width), dtype=np.int32)
+    slope = np.arange(width, dtype=np.int32) * -GAP
+    best, longest = np.zeros(len(items), dtype=np.int32), np.zeros(len(items), dtype=np.int32)
+    for row in padded:
+        same = doc[None, :] == row[:, None]
+        step = np.zeros_like(score)
+        np.maximum(score[:, :-1] + np.where(same, np.int32(MATCH), np.int32(MISMATCH)), score[:, 1:] + np.int32(GAP), out=step[:, 1:])
         np.maximum(step, 0, out=step)
         # A gap along the document: the best earlier cell less the way from it.
-        score = np.maximum.accumulate(step + slope) - slope
-        fresh = np.zeros(doc_n + 1, dtype=np.int32)
-        fresh[1:] = np.where(same, run[:-1] + 1, 0)
-        run = fresh
-        best, longest = max(best, int(score.max())), max(longest, int(run.max()))
-    return best, longest
+        step += slope
+        np.maximum.accumulate(step, axis=1, out=score)
+        score -= slope
+        run[:, 1:] = np.where(same, run[:, :-1] + 1, 0)
+        np.maximum(best, score.max(axis=1), out=best)
+        np.maximum(longest, run.max(axis=1), out=longest)
+    return list(zip(best.tolist(), longest.tolist(), strict=True))
 
 
 def _stretches(places: list[int], reach: int, length: int) -> list[tuple[int, int]]:
@@ -165,16 +170,21 @@ def _compare(doc_id: int, text: str, items: Items, seeds: dict[int, list[int]])
             continue
         number: dict[str, int] = {}
         ids = np.array([number.setdefault(x, len(number)) for x in xs], dtype=np.int64)
-        for item, at in places.items():
-            if items.modes[item] != mode:
-                continue
-            other = np.array([number.get(x, -1) for x in items.texts[item]], dtype=np.int64)
-            reach = 2 * len(other) + mode.gram
-            score = longest = 0
-            for a, b in _stretches(at, reach, len(ids)):
-                s, r = align(ids[a:b], other)
-                score, longest = max(score, s), max(longest, r)
-            yield doc_id, item, score / (MATCH * len(other)), longest, longest >= mode.run
+        wanted = sorted(i for i in places if items.modes[i] == mode)
+        coded = {i: np.array([number.get(x, -1) for x in items.texts[i]], dtype=np.int64) for i in wanted}
+        found = dict.fromkeys(wanted, (0, 0))
+        if len(ids) <= WHOLE:
+            for k in range(0, len(wanted), AT_ONCE):
+                part = wanted[k : k + AT_ONCE]
+                found |= zip(part, align(ids, [coded[i] for i in part]), strict=True)
+        else:
+            for i in wanted:
+                for a, b in _stretches(places[i], 2 * len(coded[i]) + mode.gram, len(ids)):
+                    for c in range(a, b, WHOLE):  # parts overlap by what an alignment can span
+                        s, r = align(ids[c : min(b, c + WHOLE + 3 * len(coded[i]))], [coded[i]])[0]
+                        found[i] = max(found[i][0], s), max(found[i][1], r)
+        for i, (s, r) in found.items():
+            yield doc_id, i, s / (MATCH * len(coded[i])), r, r >= mode.run
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text: str = "text", min_score: float = 0.3, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -245,4 +255,5 @@ def _find_block(docs: DataFrame, rows: list[tuple[int, str]], min_score: float,
             if found:
                 yield pd.DataFrame(found, columns=["doc", "item", "score", "longest_run", "verbatim"])
 
-    return held.mapInPandas(compare, result)
+    # The documents with a hit are few and lie unevenly; aligning them is the dear part.
+    return held.repartition(held.sparkSession.sparkContext.defaultParallelism * 2, "doc").mapInPandas(compare, result)

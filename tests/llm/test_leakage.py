@@ -63,12 +63,24 @@ def test_empty(spark):
 
 def test_alignment_as_the_plain_table():
     rng = random.Random(1)
-    for _ in range(60):
-        a, b = [rng.randrange(4) for _ in range(rng.randint(0, 12))], [rng.randrange(4) for _ in range(rng.randint(1, 12))]
-        h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        run = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i, x in enumerate(a, 1):
-            for j, y in enumerate(b, 1):
-                h[i][j] = max(0, h[i - 1][j - 1] + (2 if x == y else -1), h[i - 1][j] - 1, h[i][j - 1] - 1)
-                run[i][j] = run[i - 1][j - 1] + 1 if x == y else 0
-        assert leakage.align(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)) == (max(map(max, h)), max(map(max, run)))
+    for _ in range(30):
+        a = [rng.randrange(4) for _ in range(rng.randint(0, 12))]
+        items = [[rng.randrange(4) for _ in range(rng.randint(1, 12))] for _ in range(3)]
+        expected = []
+        for b in items:
+            h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            run = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for i, x in enumerate(a, 1):
+                for j, y in enumerate(b, 1):
+                    h[i][j] = max(0, h[i - 1][j - 1] + (2 if x == y else -1), h[i - 1][j] - 1, h[i][j - 1] - 1)
+                    run[i][j] = run[i - 1][j - 1] + 1 if x == y else 0
+            expected.append((max(map(max, h)), max(map(max, run))))
+        assert leakage.align(np.array(a, dtype=np.int64), [np.array(b, dtype=np.int64) for b in items]) == expected
+
+
+def test_long_document(spark, rows):
+    item = " ".join(f"term{i}" for i in range(40))
+    noise = " ".join(f"n{i}" for i in range(5000))
+    d = spark.createDataFrame([(1, f"{noise} {item} {noise}"), (2, " ".join([noise, *item.split()[:13]])), (3, noise)], "doc_id bigint, text string")
+    got = {r.doc_id: (r.longest_run, r.verbatim) for r in leakage.find_leaks(d, spark.createDataFrame([(7, item)], "item_id bigint, text string")).collect()}
+    assert got == {1: (40, True), 2: (13, True)}
