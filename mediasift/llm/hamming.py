@@ -80,7 +80,8 @@ def near_patterns(patterns: DataFrame, max_distance: int = 6, bucket_rows: int =
 
 def _meet(keyed: DataFrame, on: list[str], masks: list[int], max_distance: int) -> DataFrame:
     a, b = keyed.withColumnRenamed("bits", "bits_a"), keyed.withColumnRenamed("bits", "bits_b")
-    return a.join(b, on).where((F.col("bits_a") < F.col("bits_b")) & (overlap(F.col("bits_a"), F.col("bits_b"), masks) >= BITS - max_distance)).select("bits_a", "bits_b")
+    # The planner takes the keys for no larger than the patterns; the hint keeps it from broadcasting them.
+    return a.hint("merge").join(b, on).where((F.col("bits_a") < F.col("bits_b")) & (overlap(F.col("bits_a"), F.col("bits_b"), masks) >= BITS - max_distance)).select("bits_a", "bits_b")
 
 
 def _meet_hot(keyed: DataFrame, keys: list[tuple[int, int]], ones: list[int], n: int, masks: list[int], max_distance: int) -> DataFrame:
