@@ -71,8 +71,9 @@ def near_patterns(patterns: DataFrame, max_distance: int = 6, bucket_rows: int =
     if n > bucket_rows:
         # Written, so its real size decides between a broadcast and a shuffled join.
         hot = scratch.write(keyed.groupBy("way", "key").count().where(F.col("count") > bucket_rows).select("way", "key"))
-        plain = _meet(keyed.join(hot, ["way", "key"], "left_anti"), ["way", "key"], masks, max_distance)
-        pairs = plain.unionByName(_meet_hot(keyed.join(hot, ["way", "key"], "left_semi"), keys, ones, n, masks, max_distance))
+        pairs = _meet(keyed.join(hot, ["way", "key"], "left_anti"), ["way", "key"], masks, max_distance)
+        if not hot.isEmpty():
+            pairs = pairs.unionByName(_meet_hot(keyed.join(hot, ["way", "key"], "left_semi"), keys, ones, n, masks, max_distance))
     else:
         pairs = _meet(keyed, ["way", "key"], masks, max_distance)
     return pairs.distinct()
