@@ -78,7 +78,7 @@ def water_fill(tokens: dict[str, int], target: dict[str, float], cap: dict[str,
     for s in target:
         n = tokens.get(s, 0)
         epochs = given[s] * total / n if n else 0.0
-        out[s] = Fill(given[s], min(epochs, cap[s]), given[s] >= most[s], target[s] * total <= n * cap[s])
+        out[s] = Fill(given[s], min(epochs, float(cap[s])), given[s] >= most[s], target[s] * total <= n * cap[s])
     return out
 
 
