@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..config import Similarity
 from ..scratch import Scratch
 from ..ship import ship
+from ..skew import join_on_hot_key
 from .bucketing import buckets
 from .catalog import best_order, first_rows
 
@@ -30,6 +31,19 @@ def bucket_pairs(rows: DataFrame, columns: list[str], bucket: str = "bucket_id",
     return side("a").join(side("b"), bucket).where("a < b")
 
 
+def block_pairs(rows: DataFrame, columns: list[str], bucket: str = "bucket_id", id_col: str = "id", block: int = 640) -> DataFrame:
+    """JOI-12: the rows of ``bucket_pairs`` for buckets of any size.
+
+    The ids of a bucket are dealt into blocks of about ``block`` rows, and every block meets every block (itself
+    too) under a key of its own: each pair is compared once, and a hot bucket is spread over as many keys as its pairs need.
+    """
+    sizes = rows.groupBy(bucket).agg(F.count("*").alias("_n"))
+    dealt = join_on_hot_key(rows, sizes, [bucket], "_n", rows.count(), id_col).withColumn("_blocks", F.ceil(F.col("_n") / block)).withColumn("_own", F.pmod(F.xxhash64(id_col), F.col("_blocks")))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1))
+    side = lambda x, own, other: dealt.select(bucket, F.col(id_col).alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns], F.col("_own").alias(own), every.alias(other))
+    return side("a", "_i", "_j").join(side("b", "_j", "_i"), [bucket, "_i", "_j"]).where("a < b").drop("_i", "_j")
+
+
 def _link(pdf: pd.DataFrame) -> pd.DataFrame:
     """Greedy complete linkage over the relations of one bucket, closest first."""
     near = {frozenset((a, b)): d for a, b, d in zip(pdf["a"], pdf["b"], pdf["distance"], strict=True)}
