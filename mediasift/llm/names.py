@@ -299,7 +299,7 @@ def _records(contacts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     return scratch.write(records), near, usual
 
 
-def _candidates(spellings: DataFrame, usual: DataFrame, scratch: Scratch) -> DataFrame:
+def _candidates(spellings: DataFrame, near: DataFrame, usual: DataFrame, scratch: Scratch) -> DataFrame:
     """``(a, b)`` record pairs that share a block, from coarse to fine where blocks are crowded."""
     parts = word_parts(F.col("name"))
     long = F.filter(parts, lambda x: F.length(x) > 1)
@@ -311,10 +311,19 @@ def _candidates(spellings: DataFrame, usual: DataFrame, scratch: Scratch) -> Dat
     calm, crowded = _split(one, ["kind", "t"], scratch)
     out = [_pairs(calm.select("rep", "kind", "t").distinct(), ["kind", "t"])]
 
-    # A crowded token within one organisation, whatever the other token.
+    # A crowded token within one organisation, whatever the other token; where that is crowded too, the other tokens below tell.
     inside = scratch.write(crowded.select("rep", "kind", "t").distinct().join(orgs, "rep"))
     out.append(_pairs(_split(inside, ["kind", "t", "o"], scratch)[0], ["kind", "t", "o"]))
 
+    # A name of one token has no other: it meets all that have a spelling of it, people those of their organisation.
+    lone = spellings.where(F.size("name") == 1).select("rep").join(crowded.select("rep").distinct(), "rep", "left_semi")
+    lone = flat.join(lone, "rep").withColumnRenamed("rep", "lone")
+    lone = scratch.write(lone.unionByName(lone.join(near, "token").select("lone", "kind", F.col("near").alias("token"))).distinct())
+    met = lone.where("kind = 'o'").join(flat, ["kind", "token"]).select("lone", "rep")
+    placed = lone.where("kind = 'p'").join(orgs.withColumnRenamed("rep", "lone"), "lone")
+    met = met.unionByName(placed.join(flat.join(orgs, "rep"), ["kind", "token", "o"]).select("lone", "rep")).where("lone <> rep")
+    out.append(met.select(F.least("lone", "rep").alias("a"), F.greatest("lone", "rep").alias("b")))
+
     second = keys.select("rep", F.col("token").alias("other"), F.explode(F.concat(F.array(F.col("t"), F.concat(F.lit("#"), F.substring("t", 1, 1))), _full_names(F.col("t")))).alias("u")).distinct()
     brief = F.length("other") <= 4
     two = crowded.join(second, "rep").where(F.col("other") != F.col("token")).groupBy("rep", "kind", "t", "u").agg(F.max(brief).alias("brief"))
@@ -401,9 +410,9 @@ def link_names(contacts: DataFrame) -> DataFrame:
     """
     ship(contacts.sparkSession)
     scratch = Scratch(contacts.sparkSession, "names")
-    records, _, usual = _records(contacts, scratch)
+    records, near, usual = _records(contacts, scratch)
     spellings = scratch.write(records.groupBy("kind", "name", "org").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
-    pairs = scratch.write(_candidates(spellings, usual, scratch))
+    pairs = scratch.write(_candidates(spellings, near, usual, scratch))
 
     side = lambda x: spellings.select(F.col("rep").alias(x), F.col("kind").alias(f"kind_{x}"), F.col("name").alias(f"name_{x}"), F.col("org").alias(f"org_{x}"))
     full = pairs.join(side("a"), "a").join(side("b"), "b").where("kind_a = kind_b")
