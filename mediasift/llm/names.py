@@ -2,8 +2,8 @@
 
 Spellings are found token by token: MinHash banding over padded q-grams, with
 rows and bands read off the collision curve 1 - (1 - s^r)^b, proposes similar
-tokens, and an edit distance confirms them. Records that share a token, or the
-most frequent spelling near one of their tokens, are compared by Monge-Elkan
+tokens, and an edit distance confirms them. Records that share a token, the
+most frequent spelling near one of their tokens, or a pair of near tokens, are compared by Monge-Elkan
 similarity (each token of the shorter name against its best partner; initials,
 shortened forms and nicknames count as partners), and star clustering makes
 groups: the fullest spelling is a centre, the spellings near it its satellites.
@@ -257,6 +257,14 @@ def _usual_spelling(counts: DataFrame, near: DataFrame) -> DataFrame:
     return counts.join(best, "token", "left").select("token", F.when(F.col("best") > rank("n", "token"), F.col("best")["near"]).otherwise(F.col("token")).alias("usual"))
 
 
+def _block_keys(near: DataFrame, usual: DataFrame) -> DataFrame:
+    """``(token, key)``: itself, its usual spelling, and one key for each token near it that shares neither; so any two near tokens have a key in common."""
+    own = usual.select("token", F.explode(F.array_distinct(F.array("token", "usual"))).alias("key"))
+    x, y = (usual.select(F.col("token").alias(t), F.col("usual").alias(f"usual_{t}")) for t in ("token", "near"))
+    apart = near.join(x, "token").join(y, "near").where((F.col("usual_token") != F.col("usual_near")) & (F.col("usual_token") != F.col("near")) & (F.col("usual_near") != F.col("token")))
+    return own.unionByName(apart.select("token", F.concat_ws("|", F.least("token", "near"), F.greatest("token", "near")).alias("key")))
+
+
 def _records(contacts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Records ``(id, kind, name, org)`` as token arrays, the tokens near each other, and their usual spelling."""
     stated = contacts.where("id IS NOT NULL").select("id", *[name_tokens(filled_name(F.col(c))).alias(c) for c in ("given", "family", "organization")])
@@ -305,8 +313,9 @@ def _candidates(spellings: DataFrame, near: DataFrame, usual: DataFrame, scratch
     long = F.filter(parts, lambda x: F.length(x) > 1)
     # As in the comparison, single letters beside two longer tokens are middle initials.
     flat = spellings.select("rep", "kind", F.explode(F.when(F.size(long) >= 2, long).otherwise(parts)).alias("token"))
-    keys = flat.join(usual, "token", "left").select("rep", "kind", "token", F.explode(F.array_distinct(F.array("token", F.coalesce("usual", "token")))).alias("t"))
-    orgs = spellings.select("rep", F.explode("org").alias("token")).join(usual, "token", "left").select("rep", F.explode(F.array_distinct(F.array("token", F.coalesce("usual", "token")))).alias("o")).distinct()
+    spelt = scratch.write(_block_keys(near, usual))
+    keys = flat.join(spelt.withColumnRenamed("key", "t"), "token")
+    orgs = spellings.select("rep", F.explode(word_parts(F.col("org"))).alias("token")).join(spelt.withColumnRenamed("key", "o"), "token").select("rep", "o").distinct()
     one = scratch.write(keys.where(F.length("t") > 1).distinct())
     calm, crowded = _split(one, ["kind", "t"], scratch)
     out = [_pairs(calm.select("rep", "kind", "t").distinct(), ["kind", "t"])]
@@ -324,7 +333,9 @@ def _candidates(spellings: DataFrame, near: DataFrame, usual: DataFrame, scratch
     met = met.unionByName(placed.join(flat.join(orgs, "rep"), ["kind", "token", "o"]).select("lone", "rep")).where("lone <> rep")
     out.append(met.select(F.least("lone", "rep").alias("a"), F.greatest("lone", "rep").alias("b")))
 
-    second = keys.select("rep", F.col("token").alias("other"), F.explode(F.concat(F.array(F.col("t"), F.concat(F.lit("#"), F.substring("t", 1, 1))), _full_names(F.col("t")))).alias("u")).distinct()
+    full = keys.select("rep", F.col("token").alias("other"), F.explode(_full_names(F.col("t"))).alias("token"))
+    full = full.select("rep", "other", F.col("token").alias("u")).unionByName(full.join(spelt, "token").select("rep", "other", F.col("key").alias("u")))
+    second = keys.select("rep", F.col("token").alias("other"), F.explode(F.array(F.col("t"), F.concat(F.lit("#"), F.substring("t", 1, 1)))).alias("u")).unionByName(full).distinct()
     brief = F.length("other") <= 4
     two = crowded.join(second, "rep").where(F.col("other") != F.col("token")).groupBy("rep", "kind", "t", "u").agg(F.max(brief).alias("brief"))
     two = scratch.write(two)

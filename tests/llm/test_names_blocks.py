@@ -17,3 +17,11 @@ def test_one_token_people_of_a_crowded_organisation_meet(spark):
     words = ["zetipelis", *typos("zetipelis", 24), "zetipelis"]
     got = groups(spark, [(f"p{i:02}", None, w, "Drabudo Logistics Ltd") for i, w in enumerate(words)] + [("q", None, "Zetipelis", "Kolomar Services Ltd")] + filler(60))
     assert [len(g) for g in got if "p00" in g] == [26] and ["q"] in got
+
+
+def test_near_families_with_different_usual_spellings_meet(spark):
+    """Lanker is near Janker and Lankes; the given name is in a crowded block, and no organisation helps."""
+    crowd = [(f"j{i:02}", f"Given{chr(97 + i)}", "Janker", None) for i in range(20)] + [(f"l{i:02}", f"Other{chr(97 + i)}", "Lankes", None) for i in range(15)]
+    crowd += [(f"e{i:02}", "Elisabeth", f"{a}{b}rrukomas", None) for i, (a, b) in enumerate((a, b) for a in "BDFGK" for b in "aeiou")]
+    got = groups(spark, [("x", "Elisabeth", "Lanker", None), ("y", "Elisabeth", "Lankes", None), *crowd])
+    assert any({"x", "y"} <= set(g) for g in got)
