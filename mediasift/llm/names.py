@@ -1,7 +1,8 @@
 """Variant spellings of names typed by people.
 
-Spellings are found token by token: MinHash banding over padded q-grams, with
-rows and bands read off the collision curve 1 - (1 - s^r)^b, proposes similar
+Spellings are found token by token: what is left of a token without one or two
+letters (for long tokens MinHash banding over padded q-grams, with rows and
+bands read off the collision curve 1 - (1 - s^r)^b) proposes similar
 tokens, and an edit distance confirms them. Records that share a token, the
 most frequent spelling near one of their tokens, or a pair of near tokens, are compared by Monge-Elkan
 similarity (each token of the shorter name against its best partner; initials,
@@ -37,8 +38,10 @@ NICKNAMES = {
     "margarete": "greta gretel marge maggie meg grete margit peggy", "matthias": "matt mattes hias matze matti", "michael": "mike mick micha michi mickey", "nikolaus": "klaus nick niko nico", "patricia": "pat patty tricia trish patti", "penelope": "penny nell", "rebecca": "becky becca", "richard": "rick dick rich ricky ritchie", "robert": "bob bobby rob bert robbie", "samuel": "sam sammy", "stephanie": "steffi steph stephie", "susanne": "susi sue sanne suse susie", "theodora": "theo dora teddy thea", "valentina": "vale tina val", "veronika": "vroni nika vero ronni", "william": "bill will billy willy liam",
 }
 Q = 3
-#: Tokens this similar (Jaccard of their q-grams) meet in some band with chance RECALL.
-DESIGN_SIMILARITY, RECALL, ROWS = 0.45, 0.95, 4
+#: Tokens of up to SHORT letters meet under what is left of them without a letter or two. A longer token keeps most of its
+#: q-grams through two edits: its Jaccard is (n - 6) / (n + 10) at least, and at this similarity two meet in some band with chance RECALL.
+SHORT = 20
+DESIGN_SIMILARITY, RECALL, ROWS = 0.45, 0.999, 4
 CROWDED = 16
 
 
@@ -100,6 +103,15 @@ def edits(a: str, b: str, most: int) -> int:
     return last[len(b)]
 
 
+def deletions(token: str) -> set[str]:
+    """What is left of ``token`` without as many letters as ``allowed_edits`` grants its length, or fewer. Tokens within their edits of each other share one."""
+    out = level = {token}
+    for _ in range(allowed_edits(token, token)):
+        level = {t[:i] + t[i + 1 :] for t in level for i in range(len(t))}
+        out = out | level
+    return out
+
+
 class _Band(dict):
     """A row of the edit table of which only a band is kept."""
 
@@ -227,6 +239,11 @@ def similar_tokens(vocabulary: DataFrame) -> DataFrame:
         for pdf in batches:
             for at in range(0, len(pdf), 2000):
                 tokens = list(pdf["token"][at : at + 2000])
+                # Two of different ways differ by two letters at most: up to SHORT + 2 both have deletions, from SHORT + 1 on both have bands.
+                left = [(t, d) for t in tokens if len(t) <= SHORT + 2 for d in deletions(t)]
+                hashed = pd.util.hash_array(np.array([d for _, d in left], dtype=object), categorize=False)
+                yield pd.DataFrame({"token": np.array([t for t, _ in left], dtype=object), "band": np.full(len(left), -1, dtype=np.int32), "key": hashed.view(np.int64)})
+                tokens = [t for t in tokens if len(t) > SHORT]
                 rows = signatures(tokens, bands * ROWS).reshape(len(tokens), bands, ROWS)
                 key = np.zeros(rows.shape[:2], dtype=np.uint64)
                 for r in range(ROWS):

@@ -1,5 +1,9 @@
 """Crowded blocks lose no pair that the comparison would accept."""
 
+import random
+
+from mediasift.llm import names
+from mediasift.ship import ship
 from tests.llm.test_names import filler, groups
 
 
@@ -25,3 +29,22 @@ def test_near_families_with_different_usual_spellings_meet(spark):
     crowd += [(f"e{i:02}", "Elisabeth", f"{a}{b}rrukomas", None) for i, (a, b) in enumerate((a, b) for a in "BDFGK" for b in "aeiou")]
     got = groups(spark, [("x", "Elisabeth", "Lanker", None), ("y", "Elisabeth", "Lankes", None), *crowd])
     assert any({"x", "y"} <= set(g) for g in got)
+
+
+def test_near_tokens_are_all_found(spark):
+    """Against brute force: every pair within its edits, short tokens and long."""
+    rng = random.Random(5)
+    words = set()
+    for n in [*range(4, 13), 19, 20, 21, 22, 26] * 12:
+        w = "".join(rng.choice("abcdeilmnorst") for _ in range(n))
+        words.add(w)
+        for _ in range(4):
+            for _ in range(rng.choice([1, 2])):
+                i, x = rng.randrange(len(w) - 1), rng.choice("abcdeilmnorst")
+                w = rng.choice([w[:i] + w[i + 1] + w[i] + w[i + 2 :], w[:i] + x + w[i + 1 :], w[:i] + w[i + 1 :], w[:i] + x + w[i:]])
+            words.add(w)
+    words = sorted(w for w in words if len(w) >= 4)
+    want = {(a, b) for a in words for b in words if a != b and abs(len(a) - len(b)) <= 2 and names.edits(a, b, names.allowed_edits(a, b)) <= names.allowed_edits(a, b)}
+    ship(spark)
+    got = {tuple(r) for r in names.similar_tokens(spark.createDataFrame([(w,) for w in words], "token string")).collect()}
+    assert got == want
