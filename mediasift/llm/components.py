@@ -54,25 +54,29 @@ def group_pairs(pairs: DataFrame, a: str = "a", b: str = "b", max_rounds: int =
         forest.append(state.where("NOT stays").select("u", F.col("m").alias("parent")))
         scratch.drop(edges, chosen)
         edges, n_edges = after, after.count()
-    labels = scratch.write(_flow_down(forest))
+    labels = _flow_down(forest, scratch)
     seeds = vertices.join(labels.select(F.col("id").alias("u")), "u", "left_anti")
     return labels.unionByName(seeds.select(F.col("u").alias("id"), F.col("u").alias("group_id")))
 
 
-def _flow_down(forest: list[DataFrame]) -> DataFrame:
+def _flow_down(forest: list[DataFrame], scratch: Scratch) -> DataFrame:
     """Seeds flow from the vertices dropped last to those dropped first.
 
     A parent is alive at the end of its child's round, so it dropped in a later
-    round or is a seed: one left join a round, over sizes that shrink with the round.
+    round or is a seed. Each level is written once and read by the levels above it, so a round adds
+    two joins to the whole run and none to the plans of other rounds. The parents of a level are
+    looked up once each; a parent with very many children is salted on the way back.
     """
     labels: DataFrame | None = None
     for tree in reversed(forest):
         if labels is None:
-            labels = tree.select(F.col("u").alias("id"), F.col("parent").alias("group_id"))
-            continue
-        known = labels.select(F.col("id").alias("parent"), F.col("group_id").alias("seed"))
-        here = tree.join(known, "parent", "left").select(F.col("u").alias("id"), F.coalesce("seed", "parent").alias("group_id"))
-        labels = labels.unionByName(here)
+            here = tree.select(F.col("u").alias("id"), F.col("parent").alias("group_id"))
+        else:
+            known = labels.select(F.col("id").alias("parent"), F.col("group_id").alias("seed"))
+            parents = tree.groupBy("parent").agg(F.count("*").alias("n")).join(known, "parent", "left")
+            here = join_on_hot_key(tree, parents, ["parent"], "n", tree.count(), "u").select(F.col("u").alias("id"), F.coalesce("seed", "parent").alias("group_id"))
+        here = scratch.write(here)
+        labels = here if labels is None else labels.unionByName(here)
     return labels
 
 
@@ -84,8 +88,10 @@ def link_contacts(matches: DataFrame, contacts: DataFrame) -> DataFrame:
     compared form. A match with a null or blank side links nothing.
     """
     key = lambda c: F.nullif(F.upper(blank_trim(F.col(c))), F.lit(""))
+    scratch = Scratch(matches.sparkSession, "contacts")
     groups = group_pairs(matches.select(key("a").alias("a"), key("b").alias("b")))
     spelled = contacts.select(key("id").alias("k"), F.col("id").alias("as_is")).where("k IS NOT NULL").groupBy("k").agg(F.min("as_is").alias("as_is"))
-    named = groups.join(spelled.withColumnRenamed("k", "id"), "id", "left").select("group_id", F.coalesce("as_is", "id").alias("id"))
-    least = named.groupBy("group_id").agg(F.min("id").alias("least"))
-    return named.join(least, "group_id").where("id <> least").select(F.col("least").alias("group_id"), "id")
+    named = scratch.write(groups.join(spelled.withColumnRenamed("k", "id"), "id", "left").select("group_id", F.coalesce("as_is", "id").alias("id")))
+    least = named.groupBy("group_id").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    met = join_on_hot_key(named, least, ["group_id"], "n", named.count(), "id")
+    return met.where("id <> least").select(F.col("least").alias("group_id"), "id")
