@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from functools import cache
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,13 +36,21 @@ def _encoding(path: str):
     return tiktoken.Encoding("mix", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+_sent: set[tuple[str, str]] = set()
+
+
 def token_count(text: Column, tokenizer: str = TOKENIZER) -> Column:
-    """Tokens of a text; null and empty texts have none."""
-    ship(SparkSession.active())
+    """Tokens of a text; null and empty texts have none. The vocabulary file is sent to the executors with the job."""
+    spark = SparkSession.active()
+    ship(spark)
+    name = tokenizer.rsplit("/", 1)[-1]
+    if (spark.sparkContext.applicationId, tokenizer) not in _sent:
+        spark.sparkContext.addFile(tokenizer)
+        _sent.add((spark.sparkContext.applicationId, tokenizer))
 
     @F.pandas_udf("bigint")
     def count(texts: pd.Series) -> pd.Series:
-        encode = _encoding(tokenizer).encode_ordinary
+        encode = _encoding(SparkFiles.get(name)).encode_ordinary
         return texts.map(lambda t: len(encode(t)) if t else 0).astype("int64")
 
     return count(text)
@@ -58,13 +67,18 @@ class Fill:
 def water_fill(tokens: dict[str, int], target: dict[str, float], cap: dict[str, int], total: int) -> dict[str, Fill]:
     """Share of ``total`` and epochs for each source.
 
-    ``reachable`` tells whether the source can reach its own target; ``clamped``
-    whether it ended at its cap, which may also come from taking over what others left. If all
-    sources together cannot fill ``total``, all are clamped and the mix is smaller.
+    The first pass of the filling pours each source its own target; who is over the cap there is not
+    ``reachable``. ``clamped`` tells whether a source ended at its cap, which may also come
+    from taking over what others left in later passes. If all
+    sources together cannot fill ``total``, all are clamped and the mix is smaller. Targets that do not
+    sum to one leave the rest, or what is too much, to the later passes.
     """
     most = {s: tokens.get(s, 0) * cap[s] / total if total else 0.0 for s in target}
     given: dict[str, float] = {}
-    free, left = set(target), 1.0
+    first = {s for s in target if target[s] > most[s]} if total else set()
+    left = 1.0 - sum(most[s] for s in first)
+    given |= {s: most[s] for s in first}
+    free = set(target) - first
     while free:
         weight = sum(target[s] for s in free)
         over = {s for s in free if weight <= 0 or target[s] / weight * left > most[s]}
@@ -78,7 +92,7 @@ def water_fill(tokens: dict[str, int], target: dict[str, float], cap: dict[str,
     for s in target:
         n = tokens.get(s, 0)
         epochs = given[s] * total / n if n else 0.0
-        out[s] = Fill(given[s], min(epochs, float(cap[s])), given[s] >= most[s], target[s] * total <= n * cap[s])
+        out[s] = Fill(given[s], min(epochs, float(cap[s])), given[s] >= most[s], s not in first)
     return out
 
 

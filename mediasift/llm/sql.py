@@ -86,6 +86,16 @@ SELECT DISTINCT a.asset_id AS asset_a, b.asset_id AS asset_b FROM m a JOIN m b
 ON a.asset_id < b.asset_id AND bit_count(xor(a.bits, b.bits)) <= 6
 """
 
+# The sources out of reach are the same for any usual way of counting tokens; here runs of letters, digits and single marks.
+P7_FOUND = """
+WITH sized AS (
+  SELECT source, len(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{M}]{1,4}|\\p{Nd}|[^\\s\\p{L}\\p{M}\\p{Nd}]')) AS n FROM documents
+), whole AS (SELECT sum(n) AS total FROM sized)
+, had AS (SELECT source, sum(n) AS n FROM sized GROUP BY source)
+SELECT t.source FROM mix_targets t CROSS JOIN whole LEFT JOIN had h ON h.source = t.source
+WHERE t.target_share * total > coalesce(h.n, 0) * t.max_repeats
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -95,4 +105,5 @@ def oracle_sql() -> dict[str, str]:
         "p2_records": P2_RECORDS,
         "p3_found": P3_FOUND,
         "p5_found": P5_FOUND,
+        "p7_found": P7_FOUND,
     }
