@@ -1,101 +1,178 @@
-"""Near-duplicate records with small edits: bit patterns that differ in few positions.
-
-Vertical partitioning of a set-similarity join. A pattern is the set of its
-64 (position, bit) tokens. The positions are put into one global order, by how
-unevenly their bit is distributed over the collection, and the order is cut
-into fragments, dealt out so that each fragment has its share of the telling
-positions. Two patterns that differ in at most ``d`` positions agree in at least
-``fragments - d`` whole fragments, so meeting on every combination of that many
-fragments finds every pair. Where two patterns meet, the overlap of each
-fragment is counted separately and the counts are summed for the pair.
+"""Near-duplicate records with small edits, as a vertically partitioned set-similarity join.
+
+The tokens of all records are put into one global order and the order is cut
+into fragments. Each fragment holds one segment of every record. Records meet
+inside fragments, partial overlaps are counted fragment by fragment, each count
+a row of its own, and summed for the pair.
+
+Two kinds of records:
+
+* bit patterns (``near_patterns``): the tokens are the 64 (position, bit) pairs, ordered by how
+  evenly the bit is spread over the collection. Patterns at most ``d``
+  positions apart agree in at least ``agree`` of ``d + agree`` whole fragments, so they
+  meet in the partition of some combination of ``agree`` segments; the overlap with the
+  leading half of the order filters what meets.
+* n-gram sets (``near_sets``): tokens ordered by document frequency, rare ones first. Sets
+  that are similar enough share a token in their prefixes, and meet there.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
+from ..ship import ship
 
 BITS = 64
-#: A bucket with more patterns than this is cut further.
+#: A bucket with more patterns than this is cut further, again and again: one with p open positions has at most 2^p patterns.
 BUCKET_ROWS = 4096
+#: Relative cost of one key written and one pair met; only the choice of fragments depends on them.
+KEY_COST, PAIR_COST = 300, 1
+#: Rows of a bucket that are compared with all of it at once, and the size from which a bucket is compared that way.
+BLOCK_ROWS, DENSE = 256, 32
 
 
 def signed(mask: int) -> int:
     return mask - (1 << BITS) if mask >> (BITS - 1) else mask
 
 
-def fragments_for(n: int, max_distance: int) -> int:
-    """Number of fragments with the least work for ``n`` patterns: keys written plus pairs met.
+def agree_for(n: int, max_distance: int) -> int:
+    """How many whole fragments make a key, with the least work for ``n`` patterns: keys written plus pairs met.
 
     Every choice gives the same pairs; only the cost differs.
     """
-    def cost(k: int) -> float:
-        ways, agree = comb(k, k - max_distance), BITS * (k - max_distance) / k
-        return ways * n * 20 + ways * n * n / 2 / 2**agree
+    def cost(agree: int) -> float:
+        k = max_distance + agree
+        ways, bits = comb(k, agree), BITS * agree / k
+        return ways * n * KEY_COST + ways * n * n / 2 / 2**bits * PAIR_COST
+
+    return min(range(1, 5), key=cost)
 
-    return min(range(max_distance + 1, max_distance + 5), key=cost)
 
+def global_order(ones: list[int], total: int) -> list[int]:
+    """Positions by imbalance of their bit, the most telling first."""
+    return sorted(range(BITS), key=lambda i: (abs(2 * ones[i] - total), i))
 
-def cut_order(ones: list[int], total: int, fragments: int) -> list[int]:
-    """Masks of the fragments: positions ordered by imbalance of their bit, dealt round."""
-    order = sorted(range(BITS), key=lambda i: (abs(2 * ones[i] - total), i))
+
+def cut_order(order: list[int], fragments: int) -> list[int]:
+    """Masks of the fragments: the order dealt round, so that each gets its share of telling positions."""
     return [sum(1 << p for p in order[f::fragments]) for f in range(fragments)]
 
 
-def overlap(a: Column, b: Column, masks: list[int]) -> Column:
-    """Tokens in common: counted in each fragment, then summed."""
-    differ = a.bitwiseXOR(b)
-    return reduce(lambda x, y: x + y, [F.lit(m.bit_count()) - F.bit_count(differ.bitwiseAND(F.lit(signed(m)))) for m in masks])
+def sum_overlaps(pairs: DataFrame, a: str, b: str, counted: Column) -> DataFrame:
+    """``(a, b, overlap)``: one row ``(pair, fragment, partial overlap)`` for each entry of the array ``counted``, summed for the pair."""
+    parts = pairs.select(a, b, F.explode(counted).alias("part"))
+    return parts.groupBy(a, b).agg(F.sum("part.overlap").alias("overlap"))
+
+
+def _segment_overlaps(masks: list[int]) -> Column:
+    """Tokens in common in each fragment: positions of the segment where both patterns have the same bit."""
+    segment = lambda c, m: F.col(c).bitwiseAND(F.lit(signed(m)))
+    return F.array(*[F.struct(F.lit(f).alias("fragment"), (F.lit(m.bit_count()) - F.bit_count(segment("bits_a", m).bitwiseXOR(segment("bits_b", m)))).alias("overlap")) for f, m in enumerate(masks)])
 
 
 def near_patterns(patterns: DataFrame, max_distance: int = 6, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``(bits_a, bits_b)``, ``bits_a < bits_b``: all pairs of different patterns at most ``max_distance`` bits apart.
 
     ``patterns`` has one column ``bits`` (bigint); nulls are left out and
-    repeated patterns count once. Exact: no pair within the distance is lost.
+    repeated patterns count once. Exact: no pair within the distance is lost, whatever the size of a bucket.
     """
-    scratch = Scratch(patterns.sparkSession, "hamming")
+    spark = patterns.sparkSession
+    ship(spark)
+    scratch = Scratch(spark, "hamming")
     classes = scratch.write(patterns.select("bits").where("bits IS NOT NULL").distinct())
     row = classes.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(F.shiftrightunsigned("bits", i).bitwiseAND(F.lit(1))), F.lit(0)).alias(f"b{i}") for i in range(BITS)]).first()
-    n, ones = row[0], list(row)[1:]
-    k = fragments_for(max(n, 1), max_distance)
-    masks = cut_order(ones, n, k)
-    keys = [(i, signed(sum(masks[f] for f in c))) for i, c in enumerate(combinations(range(k), k - max_distance))]
-    keyed = classes.select("bits", F.explode(F.array(*[F.struct(F.lit(i).alias("way"), F.col("bits").bitwiseAND(F.lit(m)).alias("key")) for i, m in keys])).alias("x")).select("bits", "x.way", "x.key")
-    if n > bucket_rows:
-        # Written, so its real size decides between a broadcast and a shuffled join.
-        hot = scratch.write(keyed.groupBy("way", "key").count().where(F.col("count") > bucket_rows).select("way", "key"))
-        pairs = _meet(keyed.join(hot, ["way", "key"], "left_anti"), ["way", "key"], masks, max_distance)
-        if not hot.isEmpty():
-            pairs = pairs.unionByName(_meet_hot(keyed.join(hot, ["way", "key"], "left_semi"), keys, ones, n, masks, max_distance))
-    else:
-        pairs = _meet(keyed, ["way", "key"], masks, max_distance)
-    return pairs.distinct()
-
-
-def _meet(keyed: DataFrame, on: list[str], masks: list[int], max_distance: int) -> DataFrame:
-    a, b = keyed.withColumnRenamed("bits", "bits_a"), keyed.withColumnRenamed("bits", "bits_b")
-    # The planner takes the keys for no larger than the patterns; the hint keeps it from broadcasting them.
-    return a.hint("merge").join(b, on).where((F.col("bits_a") < F.col("bits_b")) & (overlap(F.col("bits_a"), F.col("bits_b"), masks) >= BITS - max_distance)).select("bits_a", "bits_b")
-
-
-def _meet_hot(keyed: DataFrame, keys: list[tuple[int, int]], ones: list[int], n: int, masks: list[int], max_distance: int) -> DataFrame:
-    """Buckets with very many patterns: the positions outside the key are cut
-    again into ``max_distance + 1`` pieces, one of which two near patterns must share."""
-    order = sorted(range(BITS), key=lambda i: (abs(2 * ones[i] - n), i))
-    pieces = []
-    for way, mask in keys:
-        rest = [p for p in order if not (mask >> p) & 1]
-        cut = [sum(1 << p for p in rest[i :: max_distance + 1]) for i in range(max_distance + 1)]
-        pieces.append(F.when(F.col("way") == way, F.array(*[F.struct(F.lit(i).alias("piece"), F.col("bits").bitwiseAND(F.lit(signed(m))).alias("part")) for i, m in enumerate(cut)])))
-    finer = keyed.select("bits", "way", "key", F.explode(F.coalesce(*pieces)).alias("x")).select("bits", "way", "key", "x.piece", "x.part")
-    return _meet(finer, ["way", "key", "piece", "part"], masks, max_distance)
+    n, order = row[0], global_order(list(row)[1:], row[0])
+    agree = agree_for(max(n, 1), max_distance)
+    masks = cut_order(order, max_distance + agree)
+    lead = signed(sum(1 << p for p in order[: BITS // 2]))
+    ways = [sum(c) for c in combinations(masks, agree)]
+    rows = classes.select("bits", F.explode(F.array(*[F.lit(signed(m)) for m in ways])).alias("mask"))
+    met: DataFrame | None = None
+    while True:
+        keyed = rows.withColumn("bucket", F.xxhash64("mask", F.col("bits").bitwiseAND(F.col("mask"))))
+        if n <= bucket_rows:
+            hot = None
+        else:  # written, so its real size decides between a broadcast and a shuffled join
+            hot = scratch.write(keyed.groupBy("bucket").count().where(F.col("count") > bucket_rows).select("bucket"))
+            hot = None if hot.isEmpty() else hot
+        calm = keyed if hot is None else keyed.join(hot, "bucket", "left_anti")
+        here = scratch.write(_meet(calm.select("bucket", "bits"), lead, max_distance))
+        met = here if met is None else met.unionByName(here)
+        if hot is None:
+            break
+        crowded = scratch.write(keyed.join(hot, "bucket", "left_semi").select("bits", "mask"))
+        # The masks of a level are those of the level before, each cut into max_distance + 1 pieces: their number does not depend on the data.
+        finer = [(r["mask"], signed((r["mask"] & (2**BITS - 1)) | piece)) for r in crowded.select("mask").distinct().collect() for piece in _pieces(r["mask"], order, max_distance)]
+        rows = crowded.join(F.broadcast(spark.createDataFrame(finer, "mask bigint, finer bigint")), "mask").select("bits", F.col("finer").alias("mask"))
+    overlaps = sum_overlaps(met.distinct(), "bits_a", "bits_b", _segment_overlaps(masks))
+    return overlaps.where(F.col("overlap") >= BITS - max_distance).select("bits_a", "bits_b")
+
+
+def _pieces(mask: int, order: list[int], max_distance: int) -> list[int]:
+    """The positions outside ``mask`` in ``max_distance + 1`` pieces, one of which near patterns must share."""
+    rest = [p for p in order if not (mask >> p) & 1]
+    return [sum(1 << p for p in rest[i :: max_distance + 1]) for i in range(max_distance + 1)]
+
+
+def _meet(keyed: DataFrame, lead: int, max_distance: int) -> DataFrame:
+    """``(bits_a, bits_b)`` of each ``bucket`` that differ in at most ``max_distance`` positions of ``lead``."""
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bucket, bits = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            bucket, bits = np.concatenate([bucket, pdf["bucket"].to_numpy()]), np.concatenate([bits, pdf["bits"].to_numpy()])
+            whole = len(bucket) - int(np.argmax(bucket[::-1] != bucket[-1])) if bucket[0] != bucket[-1] else 0
+            yield from _pairs_of(bucket[:whole], bits[:whole], lead, max_distance)
+            bucket, bits = bucket[whole:], bits[whole:]
+        yield from _pairs_of(bucket, bits, lead, max_distance)
+
+    return keyed.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(meet, "bits_a bigint, bits_b bigint")
+
+
+def _pairs_of(bucket: np.ndarray, bits: np.ndarray, lead: int, max_distance: int) -> Iterator[pd.DataFrame]:
+    """Pairs within runs of equal ``bucket``: small runs together, step by step; large ones in blocks of rows."""
+    if not len(bits):
+        return
+    mask, bits = np.uint64(lead & (2**BITS - 1)), bits.view(np.uint64)  # numpy counts the bits of a signed number's absolute value
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    ends = np.r_[starts[1:], len(bucket)]
+    sizes = ends - starts
+    small = np.repeat(sizes <= DENSE, sizes)
+    last = np.repeat(ends, sizes)
+    at = np.flatnonzero(small)
+    step = 1
+    while True:
+        at = at[at + step < last[at]]
+        if not len(at):
+            break
+        x, y = bits[at], bits[at + step]
+        near = np.bitwise_count((x ^ y) & mask) <= max_distance
+        if near.any():
+            yield _ordered(x[near], y[near])
+        step += 1
+    for s, e in zip(starts[sizes > DENSE], ends[sizes > DENSE], strict=True):
+        run = bits[s:e]
+        for i in range(0, len(run), BLOCK_ROWS):
+            left, right = run[i : i + BLOCK_ROWS], run[i:]
+            a, b = np.nonzero(np.bitwise_count((left[:, None] ^ right[None, :]) & mask) <= max_distance)
+            keep = a < b
+            if keep.any():
+                yield _ordered(left[a[keep]], right[b[keep]])
+
+
+def _ordered(x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+    x, y = x.view(np.int64), y.view(np.int64)
+    return pd.DataFrame({"bits_a": np.minimum(x, y), "bits_b": np.maximum(x, y)})
 
 
 def near_assets(entries: DataFrame, asset: str = "asset_id", bits: str = "bits", max_distance: int = 6) -> DataFrame:
@@ -123,3 +200,61 @@ def near_classes(entries: DataFrame, asset: str = "asset_id", bits: str = "bits"
     pairs = near_patterns(members.select(F.col("class_bits").alias("bits")), max_distance)
     links = pairs.select(F.explode(F.array("bits_a", "bits_b")).alias("class_bits")).groupBy("class_bits").agg(F.count("*").alias("n_links"))
     return members.join(links, "class_bits", "left").select("asset", "class_bits", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+
+
+def shingles(text: Column, n: int = 5) -> Column:
+    """The different runs of ``n`` words of a text (letters and digits, lower case); a text of fewer words is one run. Null and wordless texts give none."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{Nd}]+"), lambda w: w != "")
+    runs = F.when(F.size(words) <= n, F.array(F.array_join(words, " "))).otherwise(F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " ")))
+    return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
+
+
+def near_sets(sets: DataFrame, similarity: float = 0.8, fragments: int = 8) -> DataFrame:
+    """``(a, b, overlap, similarity)``, ``a < b``: all pairs of sets with a Jaccard similarity of at least ``similarity``.
+
+    ``sets`` has ``rec`` (one row a set) and ``tokens`` (array). Exact. The order of all tokens by document
+    frequency is cut into ``fragments`` with equal numbers of occurrences; every record has a segment in each. Records
+    whose sizes allow it meet on a token of both prefixes (two sets this similar share one), and the
+    overlaps of their segments are counted by fragment and summed. Empty sets and null records are near nothing.
+    """
+    scratch = Scratch(sets.sparkSession, "sets")
+    flat = sets.where("rec IS NOT NULL").select("rec", F.size(F.array_distinct("tokens")).alias("size"), F.explode(F.array_distinct("tokens")).alias("token")).where("token IS NOT NULL")
+    frequency = flat.groupBy("token").agg(F.count("*").alias("df"))
+    # Ties of the frequency are broken by a hash, as a fraction, so the order is one number.
+    place = F.col("df") + F.pmod(F.xxhash64("token"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    placed = scratch.write(flat.join(frequency, "token").select("rec", "size", "token", "df", place.alias("place")))
+    cuts = placed.agg(F.percentile_approx("place", [i / fragments for i in range(1, fragments)], 10_000).alias("cuts")).first()["cuts"] or []
+    fragment = sum((F.col("place") > F.lit(c)).cast("int") for c in cuts) if cuts else F.lit(0)
+    ranked = placed.withColumn("at", F.row_number().over(Window.partitionBy("rec").orderBy("place", "token")))
+    length = F.col("size") - F.ceil(F.col("size") * F.lit(similarity) - F.lit(1e-9)) + 1
+    # A token of one record only lets nobody meet.
+    prefix = scratch.write(ranked.where((F.col("at") <= length) & (F.col("df") > 1)).select("rec", "size", "token", "at"))
+    side = lambda r: prefix.select("token", F.col("rec").alias(r), F.col("size").alias(f"size_{r}"), F.col("at").alias(f"at_{r}"))
+    least = F.lit(similarity / (1 + similarity)) * (F.col("size_a") + F.col("size_b")) - F.lit(1e-9)
+    # What can still be shared from this token on, in either set.
+    open_ = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) + F.least("at_a", "at_b")
+    met = side("a").hint("merge").join(side("b"), "token").where((F.col("a") < F.col("b")) & (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * F.lit(similarity) - F.lit(1e-9)) & (open_ >= least))
+    pairs = scratch.write(met.select("a", "b", "size_a", "size_b").distinct())
+    segments = scratch.write(placed.withColumn("fragment", fragment).groupBy("rec", "fragment").agg(F.collect_list("token").alias("segment")))  # a part of one record
+    seg = lambda r: segments.select(F.col("rec").alias(r), "fragment", F.col("segment").alias(f"segment_{r}"))
+    both = pairs.join(seg("a"), "a").join(seg("b"), ["b", "fragment"])
+    counted = F.array(F.struct("fragment", F.size(F.array_intersect("segment_a", "segment_b")).alias("overlap")))
+    overlaps = sum_overlaps(both, "a", "b", counted).join(pairs, ["a", "b"])
+    jaccard = F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap"))
+    return overlaps.withColumn("similarity", jaccard).where(F.col("similarity") >= F.lit(similarity) - F.lit(1e-12)).select("a", "b", "overlap", "similarity")
+
+
+def near_texts(documents: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``(id_col, class_id, n_links)``: each document with the smallest document of the same set of ``words``-word runs, and how many other classes are near its class.
+
+    Copies are compared once. Documents without words have no row; null identifiers are left out, a
+    repeated row counts once, and of different texts under one identifier each has a row.
+    """
+    scratch = Scratch(documents.sparkSession, "texts")
+    sets = documents.select(F.col(id_col).alias("doc"), F.array_sort(shingles(F.col(text), words)).alias("tokens")).where("doc IS NOT NULL AND size(tokens) > 0")
+    sets = scratch.write(sets.withColumn("key", F.sha2(F.array_join("tokens", "\n"), 256)))
+    classes = scratch.write(sets.groupBy("key").agg(F.min("doc").alias("class_id"), F.any_value("tokens").alias("tokens")))
+    pairs = near_sets(classes.select(F.col("key").alias("rec"), "tokens"), similarity)
+    links = pairs.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
+    named = classes.select("key", "class_id").join(links, "key", "left")
+    return sets.select("doc", "key").distinct().join(named, "key").select(F.col("doc").alias(id_col), "class_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))

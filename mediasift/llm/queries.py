@@ -65,6 +65,10 @@ def p5_classes(spark: SparkSession, d: str) -> DataFrame:
     return hamming.near_classes(table(spark, d, "phash_entries"))
 
 
+def p5_texts(spark: SparkSession, d: str) -> DataFrame:
+    return hamming.near_texts(table(spark, d, "documents"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).where("verbatim").select("doc_id", "item_id")
 

@@ -86,6 +86,23 @@ SELECT DISTINCT a.asset_id AS asset_a, b.asset_id AS asset_b FROM m a JOIN m b
 ON a.asset_id < b.asset_id AND bit_count(xor(a.bits, b.bits)) <= 6
 """
 
+P5_CLASSES = """
+WITH m AS (SELECT DISTINCT asset_id AS asset, bits AS class_bits FROM phash_entries WHERE bits IS NOT NULL AND asset_id IS NOT NULL),
+p AS (SELECT DISTINCT class_bits FROM m),
+l AS (SELECT a.class_bits, count(*) AS n FROM p a JOIN p b ON a.class_bits <> b.class_bits AND bit_count(xor(a.class_bits, b.class_bits)) <= 6 GROUP BY 1)
+SELECT asset, class_bits, coalesce(n, 0) AS n_links FROM m LEFT JOIN l USING (class_bits)
+"""
+
+P5_TEXTS = """
+WITH words AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{M}\\p{Nd}]+') IF x <> ''] AS w FROM documents WHERE doc_id IS NOT NULL),
+sets AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) <= 5 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END)) AS s FROM words WHERE len(w) > 0),
+classes AS (SELECT s, min(doc_id) AS class_id, len(s) AS n FROM sets GROUP BY s),
+tokens AS (SELECT class_id, n, unnest(s) AS token FROM classes),
+shared AS (SELECT a.class_id AS x, b.class_id AS y, count(*) AS c, any_value(a.n) AS nx, any_value(b.n) AS ny FROM tokens a JOIN tokens b ON a.token = b.token AND a.class_id <> b.class_id GROUP BY 1, 2),
+links AS (SELECT x, count(*) AS k FROM shared WHERE c >= 0.8 * (nx + ny - c) - 1e-9 GROUP BY x)
+SELECT DISTINCT doc_id, class_id, coalesce(k, 0) AS n_links FROM sets JOIN classes USING (s) LEFT JOIN links ON x = class_id
+"""
+
 # The sources out of reach are the same for any usual way of counting tokens; here runs of letters, digits and single marks.
 P7_FOUND = """
 WITH sized AS (
@@ -105,5 +122,7 @@ def oracle_sql() -> dict[str, str]:
         "p2_records": P2_RECORDS,
         "p3_found": P3_FOUND,
         "p5_found": P5_FOUND,
+        "p5_classes": P5_CLASSES,
+        "p5_texts": P5_TEXTS,
         "p7_found": P7_FOUND,
     }
