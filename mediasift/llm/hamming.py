@@ -18,25 +18,21 @@ Two kinds of records:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
-from ..ship import ship
+from .buckets import Accept, pairs_in_buckets
 
 BITS = 64
 #: A bucket with more patterns than this is cut further, again and again: one with p open positions has at most 2^p patterns.
 BUCKET_ROWS = 4096
 #: Relative cost of one key written and one pair met; only the choice of fragments depends on them.
 KEY_COST, PAIR_COST = 300, 1
-#: Rows of a bucket that are compared with all of it at once, and the size from which a bucket is compared that way.
-BLOCK_ROWS, DENSE = 256, 32
 
 
 def signed(mask: int) -> int:
@@ -85,7 +81,6 @@ def near_patterns(patterns: DataFrame, max_distance: int = 6, bucket_rows: int =
     repeated patterns count once. Exact: no pair within the distance is lost, whatever the size of a bucket.
     """
     spark = patterns.sparkSession
-    ship(spark)
     scratch = Scratch(spark, "hamming")
     classes = scratch.write(patterns.select("bits").where("bits IS NOT NULL").distinct())
     row = classes.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(F.shiftrightunsigned("bits", i).bitwiseAND(F.lit(1))), F.lit(0)).alias(f"b{i}") for i in range(BITS)]).first()
@@ -104,7 +99,7 @@ def near_patterns(patterns: DataFrame, max_distance: int = 6, bucket_rows: int =
             hot = scratch.write(keyed.groupBy("bucket").count().where(F.col("count") > bucket_rows).select("bucket"))
             hot = None if hot.isEmpty() else hot
         calm = keyed if hot is None else keyed.join(hot, "bucket", "left_anti")
-        here = scratch.write(_meet(calm.select("bucket", "bits"), lead, max_distance))
+        here = scratch.write(pairs_in_buckets(calm.select("bucket", F.col("bits").alias("item")), _near_in(lead, max_distance), "bits_a", "bits_b"))
         met = here if met is None else met.unionByName(here)
         if hot is None:
             break
@@ -122,57 +117,9 @@ def _pieces(mask: int, order: list[int], max_distance: int) -> list[int]:
     return [sum(1 << p for p in rest[i :: max_distance + 1]) for i in range(max_distance + 1)]
 
 
-def _meet(keyed: DataFrame, lead: int, max_distance: int) -> DataFrame:
-    """``(bits_a, bits_b)`` of each ``bucket`` that differ in at most ``max_distance`` positions of ``lead``."""
-
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bucket, bits = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            bucket, bits = np.concatenate([bucket, pdf["bucket"].to_numpy()]), np.concatenate([bits, pdf["bits"].to_numpy()])
-            whole = len(bucket) - int(np.argmax(bucket[::-1] != bucket[-1])) if bucket[0] != bucket[-1] else 0
-            yield from _pairs_of(bucket[:whole], bits[:whole], lead, max_distance)
-            bucket, bits = bucket[whole:], bits[whole:]
-        yield from _pairs_of(bucket, bits, lead, max_distance)
-
-    return keyed.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(meet, "bits_a bigint, bits_b bigint")
-
-
-def _pairs_of(bucket: np.ndarray, bits: np.ndarray, lead: int, max_distance: int) -> Iterator[pd.DataFrame]:
-    """Pairs within runs of equal ``bucket``: small runs together, step by step; large ones in blocks of rows."""
-    if not len(bits):
-        return
-    mask, bits = np.uint64(lead & (2**BITS - 1)), bits.view(np.uint64)  # numpy counts the bits of a signed number's absolute value
-    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-    ends = np.r_[starts[1:], len(bucket)]
-    sizes = ends - starts
-    small = np.repeat(sizes <= DENSE, sizes)
-    last = np.repeat(ends, sizes)
-    at = np.flatnonzero(small)
-    step = 1
-    while True:
-        at = at[at + step < last[at]]
-        if not len(at):
-            break
-        x, y = bits[at], bits[at + step]
-        near = np.bitwise_count((x ^ y) & mask) <= max_distance
-        if near.any():
-            yield _ordered(x[near], y[near])
-        step += 1
-    for s, e in zip(starts[sizes > DENSE], ends[sizes > DENSE], strict=True):
-        run = bits[s:e]
-        for i in range(0, len(run), BLOCK_ROWS):
-            left, right = run[i : i + BLOCK_ROWS], run[i:]
-            a, b = np.nonzero(np.bitwise_count((left[:, None] ^ right[None, :]) & mask) <= max_distance)
-            keep = a < b
-            if keep.any():
-                yield _ordered(left[a[keep]], right[b[keep]])
-
-
-def _ordered(x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
-    x, y = x.view(np.int64), y.view(np.int64)
-    return pd.DataFrame({"bits_a": np.minimum(x, y), "bits_b": np.maximum(x, y)})
+def _near_in(lead: int, max_distance: int) -> Accept:
+    mask = np.uint64(lead & (2**BITS - 1))
+    return lambda x, y: np.bitwise_count((x ^ y) & mask) <= max_distance
 
 
 def near_assets(entries: DataFrame, asset: str = "asset_id", bits: str = "bits", max_distance: int = 6) -> DataFrame:

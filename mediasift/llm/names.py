@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from ..functions.text import fold_digits, fold_marks
 from ..scratch import Scratch
 from ..ship import ship
+from .buckets import pairs_in_buckets
 from .survivors import filled_name
 
 # Forms of address, and nicknames by full name.
@@ -42,7 +43,6 @@ Q = 3
 #: q-grams through two edits: its Jaccard is (n - 6) / (n + 10) at least, and at this similarity two meet in some band with chance RECALL.
 SHORT = 20
 DESIGN_SIMILARITY, RECALL, ROWS = 0.45, 0.999, 4
-CROWDED = 16
 
 
 def bands_for(similarity: float, rows: int, recall: float) -> int:
@@ -103,13 +103,42 @@ def edits(a: str, b: str, most: int) -> int:
     return last[len(b)]
 
 
-def deletions(token: str) -> set[str]:
-    """What is left of ``token`` without as many letters as ``allowed_edits`` grants its length, or fewer. Tokens within their edits of each other share one."""
-    out = level = {token}
-    for _ in range(allowed_edits(token, token)):
-        level = {t[:i] + t[i + 1 :] for t in level for i in range(len(t))}
-        out = out | level
-    return out
+#: Odd, so that it has an inverse modulo 2^64: taking a letter out moves what follows by one power.
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
+
+
+def deletion_keys(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``(place, key)``: hashes of what is left of each token without as many letters as ``allowed_edits`` grants its length, or fewer.
+
+    Tokens within their edits of each other share one. A hash is a sum of letters times powers, so taking
+    letters out needs only differences of prefix sums, for all tokens of a length at once.
+    """
+    places, keys = [], []
+    lengths = np.array([len(t) for t in tokens], dtype=np.int64)
+    with np.errstate(over="ignore"):
+        for n in np.unique(lengths):
+            at = np.flatnonzero(lengths == n)
+            letters = np.frombuffer("".join(tokens[i] for i in at).encode("utf-32-le"), dtype=np.uint32).reshape(len(at), n).astype(np.uint64)
+            letters = (letters + np.uint64(0x51ED270B)) * np.uint64(0xBF58476D1CE4E5B9)
+            letters ^= letters >> np.uint64(31)
+            powers = np.array([pow(_BASE, i, 1 << 64) for i in range(n)], dtype=np.uint64)
+            sums = np.zeros((len(at), n + 1), dtype=np.uint64)
+            np.cumsum(letters * powers, axis=1, out=sums[:, 1:])
+            whole, once, twice = sums[:, -1:], np.uint64(_BACK), np.uint64(_BACK * _BACK % (1 << 64))
+            out = [whole]
+            most = allowed_edits("x" * n, "")
+            if most >= 1:
+                out.append(sums[:, :-1] + (whole - sums[:, 1:]) * once)
+            if most >= 2:
+                i, j = np.triu_indices(n, 1)
+                out.append(sums[:, i] + (sums[:, j] - sums[:, i + 1]) * once + (whole - sums[:, j + 1]) * twice)
+            key = np.concatenate(out, axis=1)
+            places.append(np.repeat(at, key.shape[1]))
+            keys.append(key.ravel())
+    if not places:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    return np.concatenate(places), np.concatenate(keys).view(np.int64)
 
 
 class _Band(dict):
@@ -231,38 +260,44 @@ def word_parts(tokens: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(tokens, lambda x: F.split(x, "-"))))
 
 
-def similar_tokens(vocabulary: DataFrame) -> DataFrame:
-    """``(token, near)`` both ways for the tokens of ``vocabulary`` (column ``token``, distinct) that are spellings of each other."""
+def similar_tokens(vocabulary: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(token, near)`` both ways for the tokens of ``vocabulary`` (column ``token``, distinct) that are spellings of each other.
+
+    Buckets of deletion keys hold what is left plus one or two letters, so the alphabet bounds them, not the rows.
+    """
     bands = bands_for(DESIGN_SIMILARITY, ROWS, RECALL)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in range(0, len(pdf), 2000):
-                tokens = list(pdf["token"][at : at + 2000])
+                tokens, items = list(pdf["token"][at : at + 2000]), pdf["item"].to_numpy()[at : at + 2000]
                 # Two of different ways differ by two letters at most: up to SHORT + 2 both have deletions, from SHORT + 1 on both have bands.
-                left = [(t, d) for t in tokens if len(t) <= SHORT + 2 for d in deletions(t)]
-                hashed = pd.util.hash_array(np.array([d for _, d in left], dtype=object), categorize=False)
-                yield pd.DataFrame({"token": np.array([t for t, _ in left], dtype=object), "band": np.full(len(left), -1, dtype=np.int32), "key": hashed.view(np.int64)})
-                tokens = [t for t in tokens if len(t) > SHORT]
-                rows = signatures(tokens, bands * ROWS).reshape(len(tokens), bands, ROWS)
-                key = np.zeros(rows.shape[:2], dtype=np.uint64)
+                brief = np.array([len(t) <= SHORT + 2 for t in tokens])
+                place, key = deletion_keys([t for t in tokens if len(t) <= SHORT + 2])
+                yield pd.DataFrame({"bucket": key, "item": items[brief][place]})
+                long = np.array([len(t) > SHORT for t in tokens])
+                rows = signatures([t for t in tokens if len(t) > SHORT], bands * ROWS).reshape(int(long.sum()), bands, ROWS)
+                key = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(rows), 1))
                 for r in range(ROWS):
                     key = (key ^ rows[:, :, r]) * np.uint64(0x9E3779B97F4A7C15)
-                yield pd.DataFrame({"token": np.repeat(np.array(tokens, dtype=object), bands), "band": np.tile(np.arange(bands, dtype=np.int32), len(tokens)), "key": key.view(np.int64).ravel()})
+                yield pd.DataFrame({"bucket": key.view(np.int64).ravel(), "item": np.repeat(items[long], bands)})
 
-    keyed = vocabulary.where(F.length("token") >= 4).select("token").mapInPandas(sign, "token string, band int, key bigint")
-    a, b = keyed.withColumnRenamed("token", "x"), keyed.withColumnRenamed("token", "y")
-    # The planner takes the keys for no larger than the tokens they come from; the hint keeps it from broadcasting them.
+    numbered = scratch.write(vocabulary.where(F.length("token") >= 4).select("token", F.monotonically_increasing_id().alias("item")))
+    parallel = max(numbered.rdd.getNumPartitions(), numbered.sparkSession.sparkContext.defaultParallelism)
+    keyed = numbered.repartition(parallel, "item").mapInPandas(sign, "bucket bigint, item bigint")
+    met = scratch.write(pairs_in_buckets(keyed, lambda x, y: x != y).distinct())
+    spelt = lambda i, t: numbered.select(F.col("item").alias(i), F.col("token").alias(t))
     # Every swap of neighbours is two single edits, so 2 * allowed is a safe first test inside the JVM.
     longest = F.greatest(F.length("x"), F.length("y"))
     allowed = F.when(longest < 8, 1).otherwise(2)
-    met = a.hint("merge").join(b, ["band", "key"]).where((F.col("x") < F.col("y")) & (F.abs(F.length("x") - F.length("y")) <= allowed) & (F.levenshtein("x", "y") <= 2 * allowed)).select("x", "y").distinct()
+    likely = met.join(spelt("a", "x"), "a").join(spelt("b", "y"), "b").where((F.abs(F.length("x") - F.length("y")) <= allowed) & (F.levenshtein("x", "y") <= 2 * allowed))
 
     @F.pandas_udf("boolean")
     def close(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([edits(p, q, allowed_edits(p, q)) <= allowed_edits(p, q) for p, q in zip(x, y, strict=True)], dtype=bool)
 
-    pairs = met.where(close("x", "y"))
+    sure = F.levenshtein("x", "y") <= allowed  # without a swap the JVM can tell
+    pairs = likely.where(sure).select("x", "y").unionByName(likely.where(~sure).where(close("x", "y")).select("x", "y"))
     return pairs.select(F.explode(F.array(F.struct(F.col("x").alias("token"), F.col("y").alias("near")), F.struct(F.col("y").alias("token"), F.col("x").alias("near")))).alias("p")).select("p.*")
 
 
@@ -288,7 +323,7 @@ def _records(contacts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     parts = scratch.write(stated.select("id", "given", "family", F.concat("given", "family").alias("person"), F.col("organization").alias("org")).distinct())
     tokens = parts.select(F.explode(word_parts(F.concat("person", "org"))).alias("token"))
     counts = scratch.write(tokens.groupBy("token").agg(F.count("*").alias("n")))
-    near = scratch.write(similar_tokens(counts))
+    near = scratch.write(similar_tokens(counts, scratch))
     usual = scratch.write(_usual_spelling(counts, near))
 
     # Words that go with many different words in organisations tell nothing of which one it is.
@@ -325,77 +360,68 @@ def _records(contacts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
 
 
 def _candidates(spellings: DataFrame, near: DataFrame, usual: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(a, b)`` record pairs that share a block, from coarse to fine where blocks are crowded."""
-    parts = word_parts(F.col("name"))
-    long = F.filter(parts, lambda x: F.length(x) > 1)
-    # As in the comparison, single letters beside two longer tokens are middle initials.
-    flat = spellings.select("rep", "kind", F.explode(F.when(F.size(long) >= 2, long).otherwise(parts)).alias("token"))
+    """``(a, b)``, ``a < b``: every two spellings that :func:`same_name` can accept.
+
+    Names of two tokens or more match only if one token is a spelling of a token of the other and a second token
+    has a partner too; if both state an organisation, these must share a spelling as well. So records meet on
+    two tokens at once, and on the organisation where both have one: no block is larger than what it lets match, and none is cut.
+    A name of one token meets every spelling of it, people those of their organisation.
+    """
     spelt = scratch.write(_block_keys(near, usual))
-    keys = flat.join(spelt.withColumnRenamed("key", "t"), "token")
-    orgs = spellings.select("rep", F.explode(word_parts(F.col("org"))).alias("token")).join(spelt.withColumnRenamed("key", "o"), "token").select("rep", "o").distinct()
-    one = scratch.write(keys.where(F.length("t") > 1).distinct())
-    calm, crowded = _split(one, ["kind", "t"], scratch)
-    out = [_pairs(calm.select("rep", "kind", "t").distinct(), ["kind", "t"])]
-
-    # A crowded token within one organisation, whatever the other token; where that is crowded too, the other tokens below tell.
-    inside = scratch.write(crowded.select("rep", "kind", "t").distinct().join(orgs, "rep"))
-    out.append(_pairs(_split(inside, ["kind", "t", "o"], scratch)[0], ["kind", "t", "o"]))
-
-    # A name of one token has no other: it meets all that have a spelling of it, people those of their organisation.
-    lone = spellings.where(F.size("name") == 1).select("rep").join(crowded.select("rep").distinct(), "rep", "left_semi")
-    lone = flat.join(lone, "rep").withColumnRenamed("rep", "lone")
-    lone = scratch.write(lone.unionByName(lone.join(near, "token").select("lone", "kind", F.col("near").alias("token"))).distinct())
-    met = lone.where("kind = 'o'").join(flat, ["kind", "token"]).select("lone", "rep")
-    placed = lone.where("kind = 'p'").join(orgs.withColumnRenamed("rep", "lone"), "lone")
-    met = met.unionByName(placed.join(flat.join(orgs, "rep"), ["kind", "token", "o"]).select("lone", "rep")).where("lone <> rep")
-    out.append(met.select(F.least("lone", "rep").alias("a"), F.greatest("lone", "rep").alias("b")))
-
-    full = keys.select("rep", F.col("token").alias("other"), F.explode(_full_names(F.col("t"))).alias("token"))
-    full = full.select("rep", "other", F.col("token").alias("u")).unionByName(full.join(spelt, "token").select("rep", "other", F.col("key").alias("u")))
-    second = keys.select("rep", F.col("token").alias("other"), F.explode(F.array(F.col("t"), F.concat(F.lit("#"), F.substring("t", 1, 1)))).alias("u")).unionByName(full).distinct()
-    brief = F.length("other") <= 4
-    two = crowded.join(second, "rep").where(F.col("other") != F.col("token")).groupBy("rep", "kind", "t", "u").agg(F.max(brief).alias("brief"))
+    # As in the comparison, single letters beside two longer tokens are middle initials.
+    main = F.filter("name", lambda x: F.length(x) > 1)
+    main = F.when(F.size(main) >= 2, main).otherwise(F.col("name"))
+    told = spellings.select("rep", "kind", main.alias("main"), (F.size("org") > 0).alias("placed"))
+    flat = told.select("rep", "kind", "placed", F.size("main").alias("n"), F.posexplode("main").alias("pos", "whole")).select("rep", "kind", "placed", "n", "pos", F.explode(F.split("whole", "-")).alias("token"))
+    flat = scratch.write(flat.where(F.length("token") > 0))
+    orgs = scratch.write(spellings.select("rep", F.explode(word_parts(F.col("org"))).alias("token")).join(spelt.withColumnRenamed("key", "o"), "token").select("rep", "o").distinct())
+
+    first = flat.where(F.length("token") >= 4).join(spelt.withColumnRenamed("key", "t"), "token").select("rep", "kind", "placed", "n", "pos", "t").distinct()
+    first = scratch.write(first)
+    # Partners of a token: its spellings; the names it may be short for; what it begins with (2) or, if brief itself, what begins with it (1).
+    brief = flat.where(F.length("token") <= 4).select("token").distinct()
+    begins = F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(4), F.length("token") - 1)), lambda i: F.substring(F.col("token"), F.lit(1), i)))
+    words = scratch.write(flat.select("token").distinct())
+    heads = words.where(F.length("token") > 1).select("token", begins.alias("head")).join(brief.withColumnRenamed("token", "head"), "head").select("token", F.concat(F.lit("#"), "head").alias("u"), F.lit(2).alias("side"))
+    own = words.where(F.length("token") <= 4).select("token", F.concat(F.lit("#"), "token").alias("u"), F.lit(1).alias("side"))
+    spelled = spelt.join(words, "token").select("token", F.col("key").alias("u"), F.lit(0).alias("side"))
+    partners = scratch.write(spelled.unionByName(_nicknames(words).select("token", "u", F.lit(0).alias("side"))).unionByName(heads).unionByName(own))
+    second = flat.where("n >= 2").join(partners, "token").select("rep", F.col("pos").alias("pos_u"), "u", "side")
+    two = first.where("n >= 2").join(second, "rep").where("pos <> pos_u")
+    # Two spellings at once are the same in either order.
+    plain = (F.col("side") == 0) & (F.col("t") > F.col("u"))
+    two = two.select("rep", "placed", F.concat_ws("\x1f", "kind", F.when(plain, F.col("u")).otherwise(F.col("t")), F.when(plain, F.col("t")).otherwise(F.col("u"))).alias("k"), "side").distinct()
     two = scratch.write(two)
-    calm, crowded = _split(two, ["kind", "t", "u"], scratch)
-    out.append(_pairs(calm, ["kind", "t", "u"], "brief"))
-
-    three = scratch.write(crowded.join(orgs, "rep", "left"))
-    out.append(_pairs(three.where("o IS NOT NULL"), ["kind", "t", "u", "o"], "brief"))
-    free = three.where("o IS NULL").select("kind", "t", "u", F.col("rep").alias("a"), F.col("brief").alias("brief_a"))
-    all_ = three.select("kind", "t", "u", F.col("rep").alias("b"), F.col("brief").alias("brief_b")).distinct()
-    loose = free.join(all_, ["kind", "t", "u"]).where((F.col("a") != F.col("b")) & (~F.col("u").startswith("#") | F.col("brief_a") | F.col("brief_b")))
-    out.append(loose.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    inside = scratch.write(two.where("placed").join(orgs, "rep").select("rep", F.concat_ws("\x1e", "k", "o").alias("k"), "side"))
+
+    free, all_ = two.where("NOT placed"), two
+    out = [_meet(inside.where("side = 0"), inside.where("side = 0"), True), _meet(free.where("side = 0"), all_.where("side = 0"))]
+    out += [_meet(inside.where("side = 1"), inside.where("side > 0")), _meet(free.where("side = 1"), all_.where("side > 0")), _meet(all_.where("side = 1"), free.where("side = 2"))]
+    lone = first.where("n = 1")
+    out.append(_meet(lone.where("kind = 'o'").withColumnRenamed("t", "k"), first.where("kind = 'o'").withColumnRenamed("t", "k")))
+    at_work = lambda rows: rows.where("kind = 'p'").join(orgs, "rep").select("rep", F.concat_ws("\x1e", "t", "o").alias("k"))
+    out.append(_meet(at_work(lone), at_work(first)))
     pairs = out[0]
     for more in out[1:]:
         pairs = pairs.unionByName(more)
     return pairs.distinct()
 
 
-def _full_names(c: Column) -> Column:
-    """The names that a nickname may stand for."""
-    of: dict[str, list[str]] = {}
-    for full, nicks in NICKNAMES.items():
-        for n in nicks.split():
-            of.setdefault(n, []).append(full)
-    known = F.create_map(*[x for n, fs in of.items() for x in (F.lit(n), F.array(*map(F.lit, fs)))])
-    return F.when(c.isin(list(of)), known[c]).otherwise(F.array().cast("array<string>"))
-
-
-def _split(keyed: DataFrame, on: list[str], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    crowded = scratch.write(keyed.groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select(*on))
-    return keyed.join(crowded, on, "left_anti"), keyed.join(crowded, on, "left_semi")
+def _meet(left: DataFrame, right: DataFrame, same: bool = False) -> DataFrame:
+    """``(a, b)``, ``a < b``: rows of two sides under the same key ``k``; ``same`` where both sides are one table."""
+    # The planner takes exploded keys for no larger than what they come from; the hint keeps it from broadcasting them.
+    met = left.select("k", F.col("rep").alias("x")).hint("merge").join(right.select("k", F.col("rep").alias("y")), "k").where("x < y" if same else "x <> y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def _pairs(keyed: DataFrame, on: list[str], brief: str | None = None) -> DataFrame:
-    side = [*on, "rep", *([brief] if brief else [])]
-    a = keyed.select(*side).withColumnRenamed("rep", "a")
-    b = keyed.select(*side).withColumnRenamed("rep", "b")
-    if brief:
-        a, b = a.withColumnRenamed(brief, "brief_a"), b.withColumnRenamed(brief, "brief_b")
-    met = a.hint("merge").join(b, on).where("a < b")
-    if brief:  # an initial alone is a block only for names that have one
-        met = met.where(~F.col("u").startswith("#") | F.col("brief_a") | F.col("brief_b"))
-    return met.select("a", "b")
+def _nicknames(words: DataFrame) -> DataFrame:
+    """``(token, u)``: one key for each full name that a token is a nickname of, or a spelling of within one edit."""
+    spark = words.sparkSession
+    known = spark.createDataFrame([(full, n) for full, ns in NICKNAMES.items() for n in ns.split()], "full string, nick string")
+    full = F.broadcast(known.select("full").distinct())  # as long as the fixed list
+    spelled = words.join(full, (F.abs(F.length("token") - F.length("full")) <= 1) & (F.levenshtein("token", "full") <= 2)).select("token", "full")
+    nicks = words.join(F.broadcast(known.withColumnRenamed("nick", "token")), "token").select("token", "full")
+    return spelled.unionByName(nicks).distinct().select("token", F.concat(F.lit("="), "full").alias("u"))
 
 
 def star_clusters(vertices: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:

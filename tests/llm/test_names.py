@@ -59,7 +59,7 @@ def test_banding_reaches_its_recall(spark):
     rng = random.Random(2)
     base = ["".join(rng.choice("abcdefghijklmnop") for _ in range(11)) for _ in range(400)]
     typos = [w[:i] + rng.choice("qrstuvwxyz") + w[i + 1 :] for w in base for i in [rng.randrange(11)]]
-    met = {tuple(r) for r in names.similar_tokens(spark.createDataFrame([(w,) for w in sorted(set(base + typos))], "token string")).collect()}
+    met = {tuple(r) for r in names.similar_tokens(spark.createDataFrame([(w,) for w in sorted(set(base + typos))], "token string"), Scratch(spark, "t")).collect()}
     assert sum((a, b) in met and (b, a) in met for a, b in zip(base, typos, strict=True)) / 400 >= 0.95
 
 

@@ -2,7 +2,11 @@
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from mediasift.llm import names
+from mediasift.scratch import Scratch
 from mediasift.ship import ship
 from tests.llm.test_names import filler, groups
 
@@ -46,5 +50,33 @@ def test_near_tokens_are_all_found(spark):
     words = sorted(w for w in words if len(w) >= 4)
     want = {(a, b) for a in words for b in words if a != b and abs(len(a) - len(b)) <= 2 and names.edits(a, b, names.allowed_edits(a, b)) <= names.allowed_edits(a, b)}
     ship(spark)
-    got = {tuple(r) for r in names.similar_tokens(spark.createDataFrame([(w,) for w in words], "token string")).collect()}
+    got = {tuple(r) for r in names.similar_tokens(spark.createDataFrame([(w,) for w in words], "token string"), Scratch(spark, "t")).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("others", [2, 15, 40, 5000])
+def test_a_crowded_family_loses_no_pair(spark, others):
+    """Two spellings of one person, beside many other people of the family."""
+    given = ["".join(random.Random(i).choice(c) for c in ("bdgklmnrstv", "aeiou") * 4).title() + "us" for i in range(others)]
+    data = [("x", "Bill", "Winterbottom", None), ("y", "Wiliam", "Winterbottom", None)] + [(f"w{i}", g, "Winterbottom", None) for i, g in enumerate(given)]
+    assert any({"x", "y"} == set(g) for g in groups(spark, data))
+
+
+def test_candidates_are_all_that_match(spark):
+    """Against brute force over the comparison itself."""
+    rng = random.Random(11)
+    given, family, orgs = ["elisabeth", "lisa", "elsabeth", "e", "robert", "bob", "robrt", "jo", "joana", "johanna"], ["brooke", "broke", "brooks", "halden", "haldne", "zetipelis", "zetipelis-brooke", "brocke"], ["drabudo", "drabuod", "kolomar", "fugomar", "kolomra"]
+    spellings = []
+    for _ in range(160):
+        kind = "o" if rng.random() < 0.2 else "p"
+        name = rng.sample(orgs, rng.randint(1, 2)) if kind == "o" else rng.sample(given, rng.randint(0, 2)) + rng.sample(family, rng.randint(1, 2))
+        org = [] if kind == "o" or rng.random() < 0.4 else rng.sample(orgs, rng.randint(1, 2))
+        spellings.append((kind, sorted(name), sorted(org)))
+    spellings = [(f"r{i:03}", *x) for i, x in enumerate(sorted({(k, tuple(n), tuple(o)) for k, n, o in spellings}))]
+    want = {(a, b) for a, k, n, o in spellings for b, k2, n2, o2 in spellings if a < b and k == k2 and names.same_name(k, list(n), list(o), list(n2), list(o2)) > 0}
+    scratch = Scratch(spark, "t")
+    df = spark.createDataFrame([(r, k, list(n), list(o)) for r, k, n, o in spellings], "rep string, kind string, name array<string>, org array<string>")
+    counts = scratch.write(df.select(F.explode(names.word_parts(F.concat("name", "org"))).alias("token")).groupBy("token").agg(F.count("*").alias("n")))
+    near = scratch.write(names.similar_tokens(counts, scratch))
+    got = {tuple(r) for r in names._candidates(df, near, names._usual_spelling(counts, near), scratch).collect()}
+    assert len(want) > 100 and want <= got
