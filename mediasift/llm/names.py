@@ -43,6 +43,10 @@ Q = 3
 #: q-grams through two edits: its Jaccard is (n - 6) / (n + 10) at least, and at this similarity two meet in some band with chance RECALL.
 SHORT = 20
 DESIGN_SIMILARITY, RECALL, ROWS = 0.45, 0.999, 4
+#: A word is generic from this number of different words beside it in organisations, and from this part of its spellings of organisations.
+GENERIC_BESIDE, GENERIC_SHARE = 12, 0.5
+#: Similarities this close are no reason to prefer one person to another.
+AS_NEAR = 0.03
 
 
 def bands_for(similarity: float, rows: int, recall: float) -> int:
@@ -173,8 +177,8 @@ def token_similarity(a: str, b: str) -> float:
 
 @lru_cache(1 << 18)
 def _unequal(a: str, b: str) -> float:
-    if "-" in a or "-" in b:  # a double name is known by either part
-        return 0.95 * max(token_similarity(x, y) if min(len(x), len(y)) >= 4 else 0.0 for x in a.split("-") for y in b.split("-"))
+    if "-" in a or "-" in b:  # a double name is known by either part, rather by its first
+        return max((0.95 if i == j == 0 else 0.8) * token_similarity(x, y) if min(len(x), len(y)) >= 4 else 0.0 for i, x in enumerate(a.split("-")) for j, y in enumerate(b.split("-")))
     most = allowed_edits(a, b)
     if most:
         d = edits(a, b, most)
@@ -186,6 +190,8 @@ def _unequal(a: str, b: str) -> float:
     for full, nick in ((a, b), (b, a)):
         if (full, nick) in _nick_pairs():
             return 0.9
+    if any(len(n) >= 5 and edits(n, other, 1) <= 1 for full, other in ((a, b), (b, a)) for n in NICKNAMES.get(full, "").split()):
+        return 0.8
     if 3 <= len(long) and any(n == short and edits(full, long, 1) <= 1 for full, ns in NICKNAMES.items() if long[0] == full[0] or long[1:2] == full[1:2] for n in ns.split()):
         return 0.8
     return 0.0
@@ -326,35 +332,47 @@ def _records(contacts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     near = scratch.write(similar_tokens(counts, scratch))
     usual = scratch.write(_usual_spelling(counts, near))
 
-    # Words that go with many different words in organisations tell nothing of which one it is.
-    words = parts.where(F.size("org") > 0).select("id", F.explode(F.array_distinct("org")).alias("token")).join(usual, "token").select("id", "usual")
-    sides = words.select("id", F.col("usual").alias("other"))
-    beside = words.join(sides, "id").where("usual <> other").groupBy("usual").agg(F.approx_count_distinct("other", 0.03).alias("beside"))
-    uses = words.groupBy("usual").agg(F.count_distinct("id").alias("uses"))
-    generic = scratch.write(uses.join(beside, "usual").where((F.col("uses") >= 4) & (F.col("beside") >= F.greatest(F.lit(8), 0.05 * F.col("uses")))).select("usual"))
+    # Words that go with many different words in organisations tell nothing of which one it is. Spellings of
+    # organisations count, not contacts, so that copies of one change nothing; names of people typed as
+    # organisations go with many words too, but are at home in the other fields.
+    told = lambda c: parts.where(F.size(c) > 0).select(F.array_sort(F.array_distinct(c)).alias("words")).distinct()
+    words = told("org").select(F.xxhash64("words").alias("key"), F.explode("words").alias("token")).join(usual, "token").select("key", "usual").distinct()
+    words = scratch.write(words)
+    beside = words.join(words.select("key", F.col("usual").alias("other")), "key").where("usual <> other").groupBy("usual").agg(F.approx_count_distinct("other", 0.03).alias("beside"))
+    uses = words.groupBy("usual").agg(F.count("*").alias("uses"))
+    people = told("person").select(F.explode("words").alias("token")).join(usual, "token").groupBy("usual").agg(F.count("*").alias("people"))
+    of_many = (F.col("beside") >= GENERIC_BESIDE) & (F.col("beside") >= GENERIC_SHARE * F.col("uses")) & (F.col("uses") >= F.coalesce("people", F.lit(0)))
+    generic = scratch.write(uses.join(beside, "usual").join(people, "usual", "left").where(of_many).select("usual"))
     plain = scratch.write(usual.join(generic, "usual").select("token"))
 
     flat = parts.select("id", F.explode_outer(F.concat(F.transform("given", lambda t: F.struct(F.lit("g").alias("f"), t.alias("token"))), F.transform("family", lambda t: F.struct(F.lit("f").alias("f"), t.alias("token"))), F.transform("org", lambda t: F.struct(F.lit("o").alias("f"), t.alias("token"))))).alias("x"))
     marked = flat.select("id", "x.f", "x.token").join(plain.withColumn("plain", F.lit(True)), "token", "left")
-    # A shortened generic word ("svcs", "mfg") keeps its first letter and the order of the others.
-    known = plain.where(F.length("token") >= 7).groupBy(F.substring("token", 1, 1).alias("first")).agg(F.collect_set("token").alias("longer"))
-    marked = marked.join(known, F.substring("token", 1, 1) == F.col("first"), "left")
-    short = (F.length("token") <= 6) & F.coalesce(F.exists("longer", lambda w: F.rlike(w, F.concat(F.lit("^"), F.regexp_replace("token", "(.)", "$1.*")))), F.lit(False))
+    # A shortened generic word ("svcs", "mfg") keeps its first letter and the order of the others. Tokens are
+    # looked up once each, by their first two letters in order, so that no letter gathers the tokens of all organisations.
+    pair = lambda c, i: F.concat(F.substring(c, 1, 1), i)
+    letters = lambda c: F.array_distinct(F.split(F.substring(c, 2, 1 << 20), ""))
+    longer = plain.where(F.length("token") >= 7).select(F.col("token").alias("longer"), F.explode(letters("token")).alias("l")).where("l <> ''").select("longer", pair(F.col("longer"), F.col("l")).alias("start"))
+    brief = marked.where("f = 'o'").select("token").where(F.length("token").between(2, 6)).distinct().select("token", F.substring("token", 1, 2).alias("start"))
+    kept = brief.join(longer, "start").where(F.rlike("longer", F.concat(F.lit("^"), F.regexp_replace("token", "(.)", "$1.*")))).select("token").distinct()
+    initials = marked.where("f = 'o'").select("token").where(F.length("token") == 1).distinct().join(plain.where(F.length("token") >= 7).select(F.substring("token", 1, 1).alias("token")).distinct(), "token")
+    marked = marked.join(kept.unionByName(initials).withColumn("short", F.lit(True)), "token", "left")
+    short = F.coalesce("short", F.lit(False))
     marked = marked.withColumn("plain", F.coalesce("plain", F.lit(False))).withColumn("short", (F.col("f") == "o") & short)
     of = lambda f, keep: F.filter(F.collect_list(F.when((F.col("f") == f) & keep, F.col("token"))), lambda x: x.isNotNull())
     any_ = lambda f, what: F.max((F.col("f") == f) & what)
     rows = marked.groupBy("id").agg(
-        of("g", F.lit(True)).alias("g"), of("f", F.lit(True)).alias("fam"), of("o", F.lit(True)).alias("o"), of("f", ~F.col("plain")).alias("fam_core"), of("o", ~F.col("plain") & ~F.col("short")).alias("core"),
+        of("g", F.lit(True)).alias("g"), of("f", F.lit(True)).alias("fam"), of("o", F.lit(True)).alias("o"), of("g", ~F.col("plain")).alias("g_core"), of("f", ~F.col("plain")).alias("fam_core"), of("o", ~F.col("plain") & ~F.col("short")).alias("core"),
         F.coalesce(any_("o", F.col("plain")), F.lit(False)).alias("o_generic"), F.coalesce(any_("f", F.col("plain")), F.lit(False)).alias("f_generic"),
     )
     none = F.array().cast("array<string>")
     empty = lambda c: F.size(c) == 0
-    org_typed_as_family = empty("g") & empty("o") & F.col("f_generic")
+    org_typed_as_family = empty("g_core") & empty("o") & F.col("f_generic")
+    org_typed_over_both = ~empty("g_core") & ~empty("fam") & empty("o") & empty("fam_core")
     person_typed_as_org = empty("g") & empty("fam") & ~F.col("o_generic") & (F.size("o") >= 2)
     org_only = empty("g") & empty("fam") & ~person_typed_as_org
-    name = F.when(org_typed_as_family, F.col("fam_core")).when(person_typed_as_org, F.col("o")).when(org_only, F.col("core")).otherwise(F.concat("g", "fam"))
-    org = F.when(org_typed_as_family | person_typed_as_org | org_only, none).otherwise(F.col("core"))
-    kind = F.when(org_typed_as_family | org_only, "o").otherwise("p")
+    name = F.when(org_typed_over_both, F.col("g")).when(org_typed_as_family, F.col("fam_core")).when(person_typed_as_org, F.col("o")).when(org_only, F.col("core")).otherwise(F.concat("g", "fam"))
+    org = F.when(org_typed_over_both | org_typed_as_family | person_typed_as_org | org_only, none).otherwise(F.col("core"))
+    kind = F.when(org_typed_over_both | org_typed_as_family | org_only, "o").otherwise("p")
     records = rows.select("id", kind.alias("kind"), F.array_sort(F.array_distinct(name)).alias("name"), F.array_sort(F.array_distinct(org)).alias("org")).where(F.size("name") > 0)
     return scratch.write(records), near, usual
 
@@ -420,7 +438,8 @@ def _nicknames(words: DataFrame) -> DataFrame:
     known = spark.createDataFrame([(full, n) for full, ns in NICKNAMES.items() for n in ns.split()], "full string, nick string")
     full = F.broadcast(known.select("full").distinct())  # as long as the fixed list
     spelled = words.join(full, (F.abs(F.length("token") - F.length("full")) <= 1) & (F.levenshtein("token", "full") <= 2)).select("token", "full")
-    nicks = words.join(F.broadcast(known.withColumnRenamed("nick", "token")), "token").select("token", "full")
+    typed = (F.col("token") == F.col("nick")) | (F.length("nick") >= 5) & (F.abs(F.length("token") - F.length("nick")) <= 1) & (F.levenshtein("token", "nick") <= 2)
+    nicks = words.join(F.broadcast(known), typed).select("token", "full")
     return spelled.unionByName(nicks).distinct().select("token", F.concat(F.lit("="), "full").alias("u"))
 
 
@@ -483,11 +502,13 @@ def link_names(contacts: DataFrame) -> DataFrame:
     vertices = scratch.write(spellings.join(degree.withColumnRenamed("v", "rep"), "rep", "left").select(F.col("rep").alias("v"), ((F.size("org") > 0) | (F.col("kind") == "o")).alias("placed"), rank.alias("rank")))
 
     # First the spellings that name an organisation (or are one), then those that leave it out: these join the
-    # only person they fit, and where they fit people of several organisations they keep to themselves.
+    # only person they fit best, and where they fit people of several organisations as well they keep to themselves.
     placed = star_clusters(vertices.where("placed"), scored.where("kind = 'o' OR has_a AND has_b"), scratch)
     employer = spellings.select(F.col("rep").alias("centre"), F.explode("org").alias("token")).join(usual, "token").groupBy("centre").agg(F.min("usual").alias("employer"))
     loose = scored.where("kind = 'p' AND has_a <> has_b").select(F.when(F.col("has_a"), F.col("b")).otherwise(F.col("a")).alias("v"), F.when(F.col("has_a"), F.col("a")).otherwise(F.col("b")).alias("other"), "similarity")
-    fits = loose.join(placed.withColumnRenamed("v", "other"), "other").join(employer, "centre", "left")
+    apart = scored.where("kind = 'p' AND NOT has_a AND NOT has_b").select(F.explode(F.array("a", "b")).alias("v"), "similarity")
+    nearest = loose.select("v", "similarity").unionByName(apart).groupBy("v").agg((F.max("similarity") - AS_NEAR).alias("least"))
+    fits = loose.join(nearest, "v").where(F.col("similarity") >= F.col("least")).join(placed.withColumnRenamed("v", "other"), "other").join(employer, "centre", "left")
     joined = scratch.write(fits.groupBy("v").agg(F.min("employer").alias("e1"), F.max("employer").alias("e2"), F.max(F.struct("similarity", "centre")).alias("m")).where("e1 = e2").select("v", F.col("m.centre").alias("centre")))
     rest = scratch.write(vertices.where("NOT placed").join(joined, "v", "left_anti"))
     among = scored.where("kind = 'p' AND NOT has_a AND NOT has_b").join(rest.select(F.col("v").alias("a")), "a", "left_semi").join(rest.select(F.col("v").alias("b")), "b", "left_semi")
