@@ -49,18 +49,22 @@ THAI_GAP = re.compile(rf"(?<=[^{BLANK}])[{BLANK}]+(?=[^{BLANK}])")
 LATIN_THAI = re.compile(rf"([A-Za-z][\w.-]*)[{BLANK}]+([{THAI}]{{1,5}})")
 #: Three Latin words in a row after Thai are no name or measure but text of their own.
 LATIN_RUN = re.compile(rf"(?:[A-Za-z][\w.,'-]*[{BLANK}]+){{3}}")
-#: A short token, whether a period follows, and what comes after that.
-OWN = re.compile(rf"(?<![^\W_])([^\W_]{{1,5}})(?![^\W_])(?:(\.)(?:[{BLANK}]+|(?=,))(\S)?)?")
 INTRODUCES = re.compile(f"[^{HARD}!?]{{0,40}}?[:：][{BLANK}]*[“„«「『\"]")
 CAMEL = re.compile(r"[a-z]{1,2}[A-Z]")
-#: Words that make what follows a quotation part of its sentence, where letter case does not tell.
-REPORT = re.compile(rf"[{BLANK}]*(?:と|[^{BLANK}，。：:！？]{{1,24}}(?:问道|說道|说道|答道|喊道|問道)|(?:سأل|قال|أجاب|كتب)[{BLANK}]|[A-Z]\w+[{BLANK}](?:asked|said|wrote|replied|answered)\b)")
-
-#: A type enters the model from this part of all counts of its kind (so the model has at
-#: most 1/SHARE entries of a kind, whatever the size of the corpus) and from LEAST occurrences.
-SHARE = {"start": 5e-4, "period": 2e-5, "ordinal": 5e-3, "thai": 2e-3, "said": 5e-2, "cjk": 1e-3}
+#: A word after a quotation that ended with a terminator; a clause there without marks in it; the character before a colon and a quotation.
+AFTER_QUOTE = re.compile(rf"[{SOFT}؟!?][”»\"][{BLANK}]+([^{BLANK}.,;:!?…“”„«»()\[\]\"'¿¡]+)")
+CLAUSE = re.compile(rf"[^{BLANK}，。：:！？]{{1,24}}")
+INTRO = re.compile(rf"([{CJK}])[:：][{BLANK}]*[“「『]")
+
+#: A word enters the lists of its kind from this part of all counts of the kind (so a list has at
+#: most 1/SHARE entries, whatever the size of the corpus) and from LEAST occurrences. Abbreviations need LEAST only.
+SHARE = {"start": 5e-4, "ordinal": 5e-3, "thai": 2e-3, "said": 5e-2, "cjk": 1e-3, "after": 1e-3, "intro": 1e-2}
 LEAST = 3
 SHORT = 5
+#: Unambiguous occurrences in one document that make a token an abbreviation there, or a word.
+OWN_YES, OWN_NO = 3, 2
+#: Abbreviations that are broadcast; of more, each document gets those it may hold by a join.
+MAX_TYPES = 500_000
 
 
 @dataclass
@@ -68,12 +72,13 @@ class Model:
     """What the corpus tells. ``abbreviations`` maps a token to whether a sentence may end with it."""
 
     abbreviations: dict[str, bool] = field(default_factory=dict)
-    ordinary: set[str] = field(default_factory=set)
     starters: set[str] = field(default_factory=set)
     ordinals: set[str] = field(default_factory=set)
     thai: set[str] = field(default_factory=set)
     said: set[str] = field(default_factory=set)
     cjk: set[str] = field(default_factory=set)
+    report: set[str] = field(default_factory=set)
+    intro: set[str] = field(default_factory=set)
 
 
 def paragraphs(text: str) -> Iterator[tuple[int, int]]:
@@ -115,6 +120,11 @@ def gather(text: str) -> Counter:
         if HAS_THAI.search(body):
             for m in re.finditer(rf"[{THAI}][{BLANK}]+([{THAI}]{{5}})", body):
                 out["thai", m.group(1), ""] += 1
+        for m in AFTER_QUOTE.finditer(body):
+            if not m.group(1)[0].isupper():
+                out["after", m.group(1)[:24], ""] += 1
+        for m in INTRO.finditer(body):
+            out["intro", m.group(1), ""] += 1
         for m in PERIOD.finditer(body):
             token, opener, word = m.groups()
             key = token.lower()
@@ -132,8 +142,11 @@ def gather(text: str) -> Counter:
     return out
 
 
-def learn(texts: DataFrame, column: str, scratch: Scratch) -> Model:
-    """The model of a corpus: sums of all documents' counts, of which only common types reach the driver."""
+def learn(texts: DataFrame, column: str, scratch: Scratch, max_types: int = MAX_TYPES) -> tuple[Model, DataFrame | None]:
+    """The model of a corpus: sums of all documents' counts, of which only common words and abbreviations reach the driver.
+
+    With more than ``max_types`` abbreviations these stay a table ``(key, may_end)``, the second value.
+    """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter = Counter()
@@ -151,29 +164,30 @@ def learn(texts: DataFrame, column: str, scratch: Scratch) -> Model:
     floor = {k: max(LEAST, totals.get(k, 0) * share) for k, share in SHARE.items()}
     model = Model()
     common = None
-    for kind in ("start", "ordinal", "thai", "said", "cjk"):
+    for kind in SHARE:
         rows = counts.where((F.col("kind") == kind) & (F.col("n") >= floor[kind]))
         common = rows if common is None else common.unionByName(rows)
-    sets = {"start": model.starters, "ordinal": model.ordinals, "thai": model.thai, "said": model.said, "cjk": model.cjk}
+    sets = {"start": model.starters, "ordinal": model.ordinals, "thai": model.thai, "said": model.said, "cjk": model.cjk, "after": model.report, "intro": model.intro}
     for r in common.select("kind", "key").collect():  # at most 1/SHARE rows of a kind
         sets[r["kind"]].add(r["key"])
     model.ordinals -= model.starters
+    model.report -= model.starters  # a word that opens sentences elsewhere opens one after a quotation too
 
     by = lambda k: F.sum(F.when(F.col("key2") == k, F.col("n")).otherwise(0)).alias(k)
-    periods = counts.where("kind = 'period'").groupBy("key").agg(F.sum("n").alias("n"), by("low"), by("digit"), by("up"), by("open")).where(F.col("n") >= floor["period"])
+    periods = counts.where("kind = 'period'").groupBy("key").agg(F.sum("n").alias("n"), by("low"), by("digit"), by("up"), by("open")).where(F.col("n") >= LEAST)
     plain = counts.where("kind = 'plain'").select("key", F.col("n").alias("plain"))
     starters = counts.where((F.col("kind") == "start") & (F.col("n") >= floor["start"])).select(F.col("key").alias("key2"), F.lit(1).alias("starts"))
     pairs = counts.where("kind = 'pair'").join(starters, "key2", "left").groupBy("key").agg(F.sum(F.col("n") * F.coalesce("starts", F.lit(0))).alias("starting"), F.sum("n").alias("pairs"), F.max(F.when(F.length("key2") > 1, F.col("n"))).alias("usual"))
-    rows = periods.join(plain, "key", "left").join(pairs, "key", "left").fillna(0, ["plain", "starting", "pairs", "usual"]).where((F.length("key") <= SHORT + 1) | F.col("key").contains(".") | (F.col("low") + F.col("digit") >= 0.5 * F.col("n")))
-    for r in rows.collect():  # at most 1/SHARE["period"] rows
-        inside = r["low"] + r["digit"] >= 0.5 * r["n"] or "." in r["key"]
-        # A title stands before many different names, or before another abbreviation of one letter.
-        title = len(r["key"]) <= SHORT and r["pairs"] >= 0.5 * r["n"] and r["starting"] < 0.2 * r["pairs"] and r["plain"] <= 0.2 * r["n"] and r["usual"] <= 0.3 * r["pairs"]
-        if inside or title:
-            model.abbreviations[r["key"]] = r["up"] + r["open"] >= 0.1 * r["n"] and r["starting"] >= 0.5 * max(r["pairs"], 1)
-        elif r["low"] + r["digit"] < 0.2 * r["n"]:
-            model.ordinary.add(r["key"])
-    return model
+    rows = periods.join(plain, "key", "left").join(pairs, "key", "left").fillna(0, ["plain", "starting", "pairs", "usual"])
+    inside = (F.col("low") + F.col("digit") >= 0.5 * F.col("n")) | F.col("key").contains(".")
+    # A title stands before many different names, or before another abbreviation of one letter.
+    title = (F.length("key") <= SHORT) & (F.col("pairs") >= 0.5 * F.col("n")) & (F.col("starting") < 0.2 * F.col("pairs")) & (F.col("plain") <= 0.2 * F.col("n")) & (F.col("usual") <= 0.3 * F.col("pairs"))
+    may_end = (F.col("up") + F.col("open") >= 0.1 * F.col("n")) & (F.col("starting") >= 0.5 * F.greatest("pairs", F.lit(1)))
+    known = scratch.write(rows.where(inside | title).select("key", may_end.alias("may_end")))
+    if known.count() > max_types:
+        return model, known
+    model.abbreviations.update((r["key"], r["may_end"]) for r in known.collect())  # at most max_types rows
+    return model, None
 
 
 def _frame(total: Counter) -> pd.DataFrame:
@@ -183,33 +197,63 @@ def _frame(total: Counter) -> pd.DataFrame:
 class _Document:
     """Cuts one text."""
 
-    def __init__(self, text: str, model: Model):
+    def __init__(self, text: str, model: Model, own_types: dict[str, bool] | None = None):
         self.text, self.model = text, model
-        self._own: dict[str, list[int]] | None = None
+        self.types = own_types if own_types is not None else model.abbreviations
+        self._tokens: dict[str, bool | None] = {}
+        self._words: dict[str, str] = {}
+
+    def _occurrences(self, word: str) -> Iterator[int]:
+        """Ends of the places where ``word`` stands alone."""
+        text, at = self.text, self.text.find(word)
+        while at >= 0:
+            end = at + len(word)
+            if not (at and (text[at - 1].isalnum() or text[at - 1] == ".")) and not text[end : end + 1].isalnum():
+                yield end
+            at = text.find(word, end)
 
     def own_evidence(self, token: str) -> bool | None:
-        """Whether the document itself shows ``token`` to be an abbreviation: unambiguous occurrences all of one kind, else None."""
-        if self._own is None:
-            self._own = {}
-            for m in OWN.finditer(self.text):
-                seen = self._own.setdefault(m.group(1), [0, 0])
-                if not m.group(2):
-                    seen[1] += 1
-                elif m.group(3) and (m.group(3).islower() or m.group(3).isdigit() or m.group(3) == ","):
-                    seen[0] += 1
-        yes, no = self._own.get(token, (0, 0))
-        return True if yes >= 2 and not no else False if no and not yes else None
+        """What the document itself shows of ``token``: True if its unambiguous occurrences are those of an abbreviation (a
+        period, then a lower case letter, a digit or a comma), False if they are those of a word (no period), else None."""
+        if token not in self._tokens:
+            text, yes, no, after = self.text, 0, 0, set()
+            for end in self._occurrences(token):
+                if text[end : end + 1] != ".":
+                    no += 1
+                    continue
+                at = end + 1
+                while at < len(text) and text[at] in BLANK:
+                    at += 1
+                c = text[at : at + 1]
+                if c == "," or at > end + 1 and (c.islower() and not CAMEL.match(text, at) or c.isdigit()):
+                    yes += 1
+                    after.add(text[at : at + 4])
+            # A passage that is repeated shows the same thing again, so what follows must differ.
+            self._tokens[token] = True if yes >= OWN_YES and len(after) > 1 and not no else False if no >= OWN_NO and not yes else None
+        return self._tokens[token]
+
+    def own_word(self, word: str) -> str:
+        """``name`` if the document has the capitalised ``word`` inside sentences and never in lower case, ``common`` if it is the other way round, else nothing."""
+        if word not in self._words:
+            text = self.text
+            low = next(self._occurrences(word.lower()), None) is not None if word.lower() != word else False
+            inside = False
+            for end in self._occurrences(word):
+                at = end - len(word)
+                before = text[:at].rstrip(BLANK)[-1:] if at and text[at - 1] in BLANK else ""
+                if before and (before.islower() or before == ","):
+                    inside = True
+                    break
+            self._words[word] = "name" if inside and not low else "common" if low and not inside else ""
+        return self._words[word]
 
     def abbreviation(self, token: str) -> bool:
+        """The document decides; where it is silent, the corpus."""
         key = token.lower()
-        if len(key) <= 1 or key in self.model.abbreviations:
-            return True
-        if key in self.model.ordinary:
-            return False
-        if "." in key and all(len(x) <= 2 for x in key.split(".")):
-            return True
-        own = self.own_evidence(token) if len(key) <= SHORT else False
-        return bool(own)
+        own = self.own_evidence(token)
+        if own is not None:
+            return own
+        return len(key) <= 1 or key in self.types or "." in key and all(len(x) <= 2 for x in key.split("."))
 
     def period_ends(self, at: int, after: int, limit: int) -> bool:
         """Whether the period at ``at`` ends a sentence; ``after`` is the next character that is not blank."""
@@ -226,12 +270,10 @@ class _Document:
             return True
         if low or word[:1].isdigit() and not MARKER.match(text, after):
             return False
-        if word in model.starters:
-            return model.abbreviations.get(token.lower(), True) or len(word) > 1 and self._never_title(token)
-        return model.abbreviations.get(token.lower(), False)
-
-    def _never_title(self, token: str) -> bool:
-        return token.lower() not in self.model.abbreviations
+        own = self.own_word(word) if word else ""
+        if own == "common" or own != "name" and word in model.starters:
+            return self.types.get(token.lower(), len(word) > 1)
+        return self.types.get(token.lower(), False)
 
     def spans(self, a: int, b: int) -> dict[int, int]:
         """Outermost quotations and brackets of a paragraph: place of the opener -> place of its closer.
@@ -359,8 +401,8 @@ class _Document:
             if low or following in ",，、;；:：–—-" and not MARKER.match(text, after, b):
                 return False
             if at == lead:
-                report = REPORT.match(text, end, b)
-                return not (kind == "quote" and report and not self._introduces(report.end(), b))
+                report = self._report(end, b) if kind == "quote" else None
+                return report is None or self._introduces(report, b)
             return kind == "quote" and not (following == "と")
         if any(c in HARD for c in kind):
             return following not in ",，、;；" or low
@@ -379,7 +421,23 @@ class _Document:
         token = token.group() if token else ""
         if not token or token.isdigit() or not self.abbreviation(token):
             return True
-        return self.model.abbreviations.get(token.lower(), False)
+        return self.types.get(token.lower(), False)
+
+    def _report(self, at: int, b: int) -> int | None:
+        """End of the words after a quotation that make it part of its sentence, where letter case does not tell: the Japanese particle, a
+        word that the corpus has after quotations but not at the start of sentences, or a clause that ends as those do that introduce quotations."""
+        text, at = self.text, self._skip(at, b)
+        if text[at : at + 1] == "と":
+            return at + 1
+        word = WORD.match(text, at, b)
+        if word and word.group() in self.model.report:
+            return word.end()
+        clause = CLAUSE.match(text, at, b)
+        if clause and self.model.intro:
+            said = clause.group().removesuffix("道")
+            if said[-1:] in self.model.intro:
+                return clause.end()
+        return None
 
     def _introduces(self, at: int, b: int) -> bool:
         """Whether a reporting clause leads to a further quotation, so that it belongs to that one."""
@@ -404,12 +462,12 @@ class _Document:
         return False
 
 
-def sentence_ends(text: str, model: Model) -> list[int]:
+def sentence_ends(text: str, model: Model, own_types: dict[str, bool] | None = None) -> list[int]:
     """End of each sentence of ``text`` in characters from its start."""
-    return list(dict.fromkeys(_Document(text, model).ends()))
+    return list(dict.fromkeys(_Document(text, model, own_types).ends()))
 
 
-def split_sentences(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def split_sentences(documents: DataFrame, id_col: str = "doc_id", text: str = "text", max_types: int = MAX_TYPES) -> DataFrame:
     """``(id_col, sentence_no, start_pos, end_pos)`` for every sentence of every document.
 
     Positions count code points; ``end_pos`` includes closing marks, not the blanks after them.
@@ -419,15 +477,26 @@ def split_sentences(documents: DataFrame, id_col: str = "doc_id", text: str = "t
     ship(spark)
     scratch = Scratch(spark, "sentences")
     docs = documents.select(F.col(id_col).alias("doc"), F.col(text).alias("body")).where("body IS NOT NULL AND body <> ''")
-    sent = spark.sparkContext.broadcast(learn(docs, "body", scratch))
+    model, table = learn(docs, "body", scratch, max_types)
+    sent = spark.sparkContext.broadcast(model)
+    if table is None:
+        docs = docs.withColumn("types", F.lit(None).cast("array<struct<key: string, may_end: boolean>>"))
+    else:
+        # Too many abbreviations for every task: each text gets those among its own tokens. Only tokens are shuffled to find them, then texts once.
+        docs = docs.withColumn("h", F.sha2("body", 256))
+        tokens = docs.select("h", F.explode(F.array_distinct(F.split(F.lower("body"), rf"[{BLANK}(\[“„«‘\"'「『]+"))).alias("raw")).where(F.col("raw").contains("."))
+        tokens = tokens.select("h", F.regexp_replace("raw", r"\.[^.]*$", "").alias("key")).distinct()
+        docs = docs.join(tokens.join(table, "key").groupBy("h").agg(F.collect_list(F.struct("key", "may_end")).alias("types")), "h", "left")
+        docs = docs.withColumn("types", F.coalesce("types", F.array().cast("array<struct<key: string, may_end: boolean>>"))).drop("h")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = sent.value
         for pdf in batches:
             rows = []
-            for doc, body in zip(pdf["doc"], pdf["body"], strict=True):
+            for doc, body, types in zip(pdf["doc"], pdf["body"], pdf["types"], strict=True):
                 at = 0
-                for no, end in enumerate(sentence_ends(body, model)):
+                own = None if types is None else {t["key"]: t["may_end"] for t in types}
+                for no, end in enumerate(sentence_ends(body, model, own)):
                     m = SPACES.match(body, at)
                     rows.append((doc, no, m.end() if m else at, end))
                     at = end

@@ -65,3 +65,33 @@ def test_every_character_is_in_a_sentence():
         text = "".join(parts)
         ends = S.sentence_ends(text, S.Model())
         assert ends == sorted(set(ends)) and ends[-1] == len(text.rstrip())
+
+
+def cut(text, model):
+    ends = S.sentence_ends(text, model)
+    return [text[a:b].strip() for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def test_the_document_decides_before_the_corpus():
+    model = S.Model(abbreviations={"art": True, "approx": False}, starters={"The", "It"})
+    own = "The pkg. was heavy. It held pkg. 5 and pkg. no one wanted. We saw the pkg. The label was torn."
+    assert cut(own, model) == ["The pkg. was heavy.", "It held pkg. 5 and pkg. no one wanted.", "We saw the pkg.", "The label was torn."]
+    title = "We met Kdt. of the guard, Kdt. 7 and Kdt. in white. There was Kdt. Moro again."
+    assert cut(title, model) == ["We met Kdt. of the guard, Kdt. 7 and Kdt. in white.", "There was Kdt. Moro again."]
+    plain = "She likes art and he hates art too. All of it is art. Moro left."
+    assert cut(plain, model)[1] == "All of it is art." and cut("All of it is art. Moro left.", S.Model(abbreviations={"art": False})) == ["All of it is art. Moro left."]
+
+
+def test_names_and_common_words_are_read_off_the_document():
+    model = S.Model(abbreviations={"inc": True}, starters={"Rose"})
+    assert cut("They work at Acme Inc. Rose is there.", model) == ["They work at Acme Inc.", "Rose is there."]
+    assert cut("I told Rose that Acme Inc. Rose is a firm, says Rose.", S.Model(abbreviations={"inc": False}, starters={"Rose"})) == ["I told Rose that Acme Inc. Rose is a firm, says Rose."]
+    assert cut("We saw nobody when we called Acme Inc. Nobody came.", S.Model(abbreviations={"inc": True})) == ["We saw nobody when we called Acme Inc.", "Nobody came."]
+
+
+def test_rare_abbreviations_of_a_large_corpus(spark, rows):
+    """Beyond what is broadcast, every text gets its abbreviations by a join; the sentences are the same."""
+    docs = [(i, f"Name{i} showed approx. {i} items. The widget saw Dr. Fulo{i} there. It ended. The end came.") for i in range(40)] + [(99, None), (98, "")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("h", F.lit("x")).withColumn("types", F.lit(1))
+    few, many = (rows(S.split_sentences(df, max_types=n)) for n in (0, 10_000))
+    assert few == many and len(few) == 160
