@@ -45,6 +45,14 @@ WORD = re.compile(rf"[^{BLANK}.,;:!?…“”„«»()\[\]\"'¿¡]+")
 THAI = "฀-๿"
 CJK = "぀-ヿ㐀-䶿一-鿿"
 HAS_THAI = re.compile(f"[{THAI}]")
+HAS_CJK = re.compile(f"[{CJK}]")
+TERMINATORS = re.compile(f"[{HARD}{re.escape(SOFT)}]+")
+LINE_BREAK = re.compile(r"\r\n|[\n\r\x85 ]")
+AFTER_MARK = re.compile(rf"[!?][{BLANK}]+([^{BLANK}.,;:!?“”„«»()\[\]\"'¿¡]+)")
+AFTER_STOP = re.compile(rf"[。！？]([{CJK}]{{2}})")
+THAI_START = re.compile(rf"[{THAI}][{BLANK}]+([{THAI}]{{5}})")
+#: Words of up to five letters without a period after them.
+PLAIN = re.compile(rf"(?<![^{BLANK}.,;:!?…“”„«»()\[\]\"'¿¡])[^{BLANK}.,;:!?…“”„«»()\[\]\"'¿¡]{{1,5}}(?![^{BLANK},;:!?…“”„«»()\[\]\"'¿¡])")
 THAI_GAP = re.compile(rf"(?<=[^{BLANK}])[{BLANK}]+(?=[^{BLANK}])")
 LATIN_THAI = re.compile(rf"([A-Za-z][\w.-]*)[{BLANK}]+([{THAI}]{{1,5}})")
 #: Three Latin words in a row after Thai are no name or measure but text of their own.
@@ -111,14 +119,14 @@ def gather(text: str) -> Counter:
             said = LATIN_THAI.match(body)
             if said:
                 out["said", said.group(2), ""] += 1
-        if re.match(f"[{CJK}]", body):
+        if HAS_CJK.match(body):
             out["cjk", body[:2], ""] += 1
-        for m in re.finditer(rf"[!?][{BLANK}]+([^{BLANK}.,;:!?“”„«»()\[\]\"'¿¡]+)", body):
+        for m in AFTER_MARK.finditer(body):
             out["start", m.group(1)[:24], ""] += 1
-        for m in re.finditer(rf"[。！？]([{CJK}]{{2}})", body):
+        for m in AFTER_STOP.finditer(body):
             out["cjk", m.group(1), ""] += 1
         if HAS_THAI.search(body):
-            for m in re.finditer(rf"[{THAI}][{BLANK}]+([{THAI}]{{5}})", body):
+            for m in THAI_START.finditer(body):
                 out["thai", m.group(1), ""] += 1
         for m in AFTER_QUOTE.finditer(body):
             if not m.group(1)[0].isupper():
@@ -136,9 +144,8 @@ def gather(text: str) -> Counter:
             out["period", key, kind] += 1
             if kind == "up" and len(key) <= SHORT:
                 out["pair", key, word[:24]] += 1
-        for m in WORD.finditer(body):
-            if len(m.group()) <= SHORT and body[m.end() : m.end() + 1] != ".":
-                out["plain", m.group().lower(), ""] += 1
+    for word, n in Counter(PLAIN.findall(text.lower())).items():
+        out["plain", word, ""] += n
     return out
 
 
@@ -374,11 +381,10 @@ class _Document:
             at = c + 1
         free.append((at, b))
         for x, y in free:
-            for m in re.finditer(f"[{HARD}{re.escape(SOFT)}]+", text[x:y]):
-                marks, i = m.group(), x + m.start()
-                out.append((marks, i, self._close(x + m.end(), b)))
-            for m in re.finditer(r"\r\n|[\n\r\x85 ]", text[x:y]):
-                out.append(("\n", x + m.start(), x + m.start()))
+            for m in TERMINATORS.finditer(text, x, y):
+                out.append((m.group(), m.start(), self._close(m.end(), b)))
+            for m in LINE_BREAK.finditer(text, x, y):
+                out.append(("\n", m.start(), m.start()))
             if thai:
                 for m in THAI_GAP.finditer(text, x, y):
                     out.append((" ", m.start(), m.start()))
@@ -394,7 +400,7 @@ class _Document:
             if not MARKER.match(text, after, b):
                 return False
             before = text[end - 1]
-            return before in HARD + SOFT + CLOSERS or bool(re.match(f"[{THAI}]", before)) or bool(HAS_THAI.search(text, after, min(b, after + 12)))
+            return before in HARD + SOFT + CLOSERS or bool(HAS_THAI.match(before)) or bool(HAS_THAI.search(text, after, min(b, after + 12)))
         if kind == " ":
             return self._thai_gap(at, after, b)
         if kind in ("bracket", "quote"):
@@ -407,7 +413,7 @@ class _Document:
         if any(c in HARD for c in kind):
             return following not in ",，、;；" or low
         if end == after:  # Latin terminators need a blank after them
-            return bool(re.match(f"[{CJK}]", following)) and kind != "." and "…" not in kind and ".." not in kind
+            return bool(HAS_CJK.match(following)) and kind != "." and "…" not in kind and ".." not in kind
         if "…" in kind or ".." in kind:
             if word and not low and (word.group()[:1].isupper() or CAMEL.match(word.group())):
                 return True
