@@ -44,7 +44,7 @@ def test_exact_runs_as_brute_force(spark, rows):
     expected = brute(docs, items)
     assert len(expected) > 20
     assert rows(leakage.find_leaks(d, i).where("verbatim"), "doc_id", "item_id") == expected
-    assert rows(leakage.find_leaks(d, i, block_chars=200).where("verbatim"), "doc_id", "item_id") == expected
+    assert rows(leakage.find_leaks(d, i, block_units=60, edited=False).where("verbatim"), "doc_id", "item_id") == expected
 
 
 def test_edited_copy_scores_and_nothing_else_does(spark, rows):
@@ -75,7 +75,7 @@ def test_alignment_as_the_plain_table():
                     h[i][j] = max(0, h[i - 1][j - 1] + (2 if x == y else -1), h[i - 1][j] - 1, h[i][j - 1] - 1)
                     run[i][j] = run[i - 1][j - 1] + 1 if x == y else 0
             expected.append((max(map(max, h)), max(map(max, run))))
-        assert leakage.align(np.array(a, dtype=np.int64), [np.array(b, dtype=np.int64) for b in items]) == expected
+        assert leakage.align([(np.array(a, dtype=np.uint64), np.array(b, dtype=np.uint64)) for b in items]) == expected
 
 
 def test_long_document(spark, rows):
@@ -84,3 +84,47 @@ def test_long_document(spark, rows):
     d = spark.createDataFrame([(1, f"{noise} {item} {noise}"), (2, " ".join([noise, *item.split()[:13]])), (3, noise)], "doc_id bigint, text string")
     got = {r.doc_id: (r.longest_run, r.verbatim) for r in leakage.find_leaks(d, spark.createDataFrame([(7, item)], "item_id bigint, text string")).collect()}
     assert got == {1: (40, True), 2: (13, True)}
+
+
+def planted(seed=3):
+    """Items of common words with a rare one here and there, as templates share them; a clean copy of each, and edited and paraphrased ones."""
+    rng = random.Random(seed)
+    frame = [" ".join(rng.choices(WORDS[:80], k=9)) for _ in range(12)]
+    items = [(i, " ".join(x for _ in range(rng.randint(2, 4)) for x in (rng.choice(frame), f"name{rng.randrange(10**6)}", " ".join(rng.choices(WORDS, k=4)), str(rng.randrange(10**5))))) for i in range(60)]
+    docs, truth = [], set()
+    noise = lambda: rng.choices(WORDS, k=60) + rng.choice(frame).split()
+    for d in range(600):
+        words = noise()
+        if d % 3 == 0:
+            i, item = items[rng.randrange(60)]
+            copy = item.split()
+            kind = d % 4
+            if kind == 0:  # every fifth word replaced
+                copy = [rng.choice(WORDS) if k % 5 == 4 else w for k, w in enumerate(copy)]
+            elif kind == 1:  # paraphrased: a quarter replaced, some left out, some put in
+                copy = [x for w in copy if rng.random() > 0.08 for x in ([rng.choice(WORDS)] if rng.random() < 0.25 else [w, "well"] if rng.random() < 0.05 else [w])]
+            elif kind == 2:  # cut in two and turned round
+                copy = copy[len(copy) // 2 :] + copy[: len(copy) // 2]
+            words[30:30] = copy
+            truth.add((d, i))
+        docs.append((d, " ".join(words)))
+    return docs, items, truth
+
+
+def test_recall_of_edited_and_paraphrased_copies(spark, rows):
+    docs, items, truth = planted()
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = set(rows(leakage.find_leaks(d, i, min_score=0.4), "doc_id", "item_id"))
+    assert len(truth & got) >= 0.95 * len(truth) and len(got - truth) <= 0.05 * len(truth)
+    # Ten times as many other documents change nothing of what is found.
+    more = d.unionByName(spark.range(1000, 7000).select(F.col("id").alias("doc_id"), F.lit(docs[1][1]).alias("text")))
+    assert truth & got <= set(rows(leakage.find_leaks(more, i, min_score=0.4), "doc_id", "item_id"))
+
+
+def test_memory_of_a_block_of_chinese_items():
+    """One million characters, a block's fill, as arrays."""
+    rng = np.random.default_rng(1)
+    text = "".join(map(chr, rng.integers(0x4E00, 0x9000, leakage.BLOCK_UNITS)))
+    items = leakage.Items([(k, text[k * 1000 : (k + 1) * 1000]) for k in range(1000)], leakage.CHARS, True)
+    size = items.codes.nbytes + sum(k.sorted.nbytes + k.first.nbytes for k in items.known.values())
+    assert size < 64 * leakage.BLOCK_UNITS
