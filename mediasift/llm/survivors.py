@@ -1,25 +1,29 @@
 """Best representative of each duplicate group.
 
-A latent two-sided quality model over claims: each source (address book) has,
-for each kind of field, a sensitivity (it states values that are true) and a
-specificity (it does not state values that are false). Both and the truth of
+A latent two-sided quality model over claims: each source has, for each kind of
+field, a sensitivity (it states values that are true) and a specificity (it
+does not state values that are false). Both and the truth of
 every stated value are inferred together by expectation-maximisation. A value
 of a multi-valued field is judged by itself, so every value judged true
 survives; of a single-valued field the likeliest value does.
 
-A member that beats every other filled member of its group in completeness,
-recency and trust at once is a case without conflict: its value is fixed as
-true in the expectation step, where it anchors the qualities of the sources,
-and it is the field's survivor.
+Sources are the address books the members were read from, and three judges, each of which states the values of the member
+it prefers: the most complete, the newest, the one of the most trusted book. How far a judge can be believed is inferred like
+the rest. That a survivor beats all others in all three ways is checked afterwards and only reported.
+
+What a round needs of the data is which sources speak on a slot (a field of a group) and which of them state a value. Values
+alike in both are counted together before the first round, so a round reads that table once and sends the driver one row a source.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import alnum
 from ..scratch import Scratch
+from ..skew import join_on_hot_key
 
 NAMES = ["given", "family", "organization"]
 VALUES = ["phones", "emails"]
@@ -31,6 +35,10 @@ FALSE_POSITIVE_PRIOR = (1.0, 4.0)
 TRUTH_PRIOR = 0.5
 #: Store id of claims without a known store.
 NO_STORE = ""
+#: The judges, as sources; a blank before them keeps them apart from stores.
+JUDGES = {"complete": " most complete", "newest": " newest", "trusted": " most trusted"}
+#: Qualities are held by the driver and sent with each round; more sources than this are refused.
+MAX_SOURCES = 1_000_000
 
 
 def filled_name(c: Column) -> Column:
@@ -92,69 +100,101 @@ def unanimous(values: DataFrame) -> DataFrame:
     return same.where("n = 1 AND who = other").select("group_id", "field", F.col("who").alias("contact_id"))
 
 
-def survivors(contacts: DataFrame, groups: DataFrame, conflicts: DataFrame, stores: DataFrame, rounds: int = 6) -> DataFrame:
+def claims_of(values: DataFrame, total: int) -> DataFrame:
+    """``(group_id, field, key, source)``, distinct: what the stores and the judges state."""
+    slot = ["group_id", "field"]
+    age, rank = F.coalesce(F.unix_micros(F.col("updated").cast("timestamp")), F.lit(-(1 << 62))), F.coalesce("trust", F.lit(2**31 - 1))
+    rows = values.select(*slot, "contact_id", "store", "keys", "complete", age.alias("age"), rank.alias("rank"))
+    best = rows.groupBy(*slot).agg(F.max("complete").alias("most"), F.max("age").alias("newest"), F.min("rank").alias("trusted"), F.count("*").alias("n"))
+    judged = join_on_hot_key(rows, best, slot, "n", total, "contact_id")
+    says = lambda test, judge: F.when(test, F.lit(JUDGES[judge]))
+    sources = F.array_compact(F.array("store", says(F.col("complete") == F.col("most"), "complete"), says(F.col("age") == F.col("newest"), "newest"), says(F.col("rank") == F.col("trusted"), "trusted")))
+    return judged.select(*slot, F.explode("keys").alias("key"), sources.alias("sources")).select(*slot, "key", F.explode("sources").alias("source")).distinct()
+
+
+def survivors(contacts: DataFrame, groups: DataFrame, conflicts: DataFrame, stores: DataFrame, tolerance: float = 1e-3, max_rounds: int = 50) -> DataFrame:
     """``group_id, field, key, value, contact_id, truth, decided``: the surviving values of every group.
 
     One row for each name field with a filled value, and one for each value of
     ``phones`` and ``emails`` judged true. ``truth`` is the model's probability,
     ``contact_id`` the best member that states the value; ``decided`` is
-    ``unanimous`` where that member wins in all three ways, else ``model``. Ties go to
+    ``unanimous`` if that member also wins in all three ways, else ``model``. Ties go to
     the more complete, newer, more trusted value, then to the smaller identifier. Empty
     tables give no rows; columns other than those of the tables are ignored.
     """
     scratch = Scratch(contacts.sparkSession, "survivors")
+    slot = ["group_id", "field"]
     values = scratch.write(member_values(contacts, groups, conflicts, stores))
     winners = scratch.write(unanimous(values))
-    slot = ["group_id", "field"]
-    claims = values.join(winners.withColumn("wins", F.lit(True)), [*slot, "contact_id"], "left").select(*slot, "store", F.explode("keys").alias("key"), F.coalesce("wins", F.lit(False)).alias("wins"))
-    claims = scratch.write(claims.groupBy(*slot, "key", "store").agg(F.max("wins").alias("wins")))
-    truth = scratch.write(_judge(claims, rounds, scratch))
+    truth = judge(claims_of(values, values.count()), scratch, tolerance, max_rounds)
 
-    named = values.select(*slot, "contact_id", "value", "complete", "updated", "trust", F.explode("keys").alias("key"))
-    named = named.join(winners.withColumn("wins", F.lit(True)), [*slot, "contact_id"], "left").join(truth, [*slot, "key"])
+    named = values.select(*slot, "contact_id", "value", "complete", "updated", "trust", F.explode("keys").alias("key")).join(truth, [*slot, "key"])
     order = F.struct(
-        (~F.coalesce("wins", F.lit(False))).alias("loses"), (-F.col("truth")).alias("untruth"), (-F.col("complete")).alias("gaps"), F.coalesce(-F.unix_micros(F.col("updated").cast("timestamp")), F.lit(1 << 62)).alias("age"),
+        (-F.col("truth")).alias("untruth"), (-F.col("complete")).alias("gaps"), F.coalesce(-F.unix_micros(F.col("updated").cast("timestamp")), F.lit(1 << 62)).alias("age"),
         F.coalesce("trust", F.lit(2**31 - 1)).alias("trust"), "contact_id", "key", "value",
     )
-    best_of = lambda *keys: named.groupBy(*keys).agg(F.min(order).alias("b"))
-    single = best_of(*slot).where(F.col("field").isin(NAMES)).select(*slot, "b.*")
-    listed = best_of(*slot, "key").where(F.col("field").isin(VALUES) & ((F.col("b.untruth") <= -0.5) | ~F.col("b.loses"))).select(*slot, "b.*")
-    both = single.unionByName(listed)
-    return both.select(*slot, "key", "value", "contact_id", F.round(-F.col("untruth"), 6).alias("truth"), F.when(F.col("loses"), "model").otherwise("unanimous").alias("decided"))
+    by_key = scratch.write(named.groupBy(*slot, "key").agg(F.min(order).alias("b")))
+    single = by_key.where(F.col("field").isin(NAMES)).groupBy(*slot).agg(F.min("b").alias("b")).select(*slot, "b.*")
+    listed = by_key.where(F.col("field").isin(VALUES) & (F.col("b.untruth") <= -0.5)).select(*slot, "b.*")
+    wins = winners.select(*slot, "contact_id", F.lit(True).alias("wins"))
+    both = single.unionByName(listed).join(wins, [*slot, "contact_id"], "left")
+    return both.select(*slot, "key", "value", "contact_id", F.round(-F.col("untruth"), 6).alias("truth"), F.when(F.col("wins"), "unanimous").otherwise("model").alias("decided"))
 
 
-def _judge(claims: DataFrame, rounds: int, scratch: Scratch) -> DataFrame:
-    """``(group_id, field, key, truth)`` by expectation-maximisation.
+def judge(claims: DataFrame, scratch: Scratch, tolerance: float = 1e-3, max_rounds: int = 50) -> DataFrame:
+    """``(group_id, field, key, truth)`` by expectation-maximisation over ``claims`` (``group_id, field, key, source``, distinct).
 
-    Sources that speak on a slot but do not state a value deny it. Denials are
-    never written out: the log-odds of a value are the sum over all sources of its slot of
-    "denied", plus for its own sources the difference to "stated", so each
-    round costs sums over claims and over (slot, source) pairs.
+    Sources that speak on a slot but do not state a value deny it. Rounds end when no quality moves by more than ``tolerance``.
     """
     slot = ["group_id", "field"]
-    covers = scratch.write(claims.select(*slot, "store").distinct())
-    facts = scratch.write(claims.groupBy(*slot, "key").agg(F.max("wins").alias("wins"), F.count("*").alias("votes")))
-    # A slot with a unanimous winner knows its true values; of a single-valued field also the false ones.
-    known = facts.groupBy(*slot).agg(F.max("wins").alias("settled"))
-    facts = scratch.write(facts.join(known, slot).withColumn("fixed", F.when(F.col("wins"), 1.0).when(F.col("settled") & F.col("field").isin(NAMES), 0.0)))
-    sources = covers.groupBy("field", "store").agg(F.count("*").alias("slots"))
-    a1, a0 = SENSITIVITY_PRIOR
-    b1, b0 = FALSE_POSITIVE_PRIOR
-    quality = sources.select("field", "store", F.lit(a1 / (a1 + a0)).alias("sens"), F.lit(b1 / (b1 + b0)).alias("fpr"))
-    prior = F.log(F.lit(TRUTH_PRIOR / (1 - TRUTH_PRIOR)))
-    for turn in range(rounds):
-        denied = quality.withColumn("denies", F.log((1 - F.col("sens")) / (1 - F.col("fpr")))).withColumn("states", F.log(F.col("sens") / F.col("fpr")) - F.col("denies"))
-        base = covers.join(denied, ["field", "store"]).groupBy(*slot).agg(F.sum("denies").alias("base"))
-        stated = claims.join(denied, ["field", "store"]).groupBy(*slot, "key").agg(F.sum("states").alias("states"))
-        odds = facts.join(base, slot).join(stated, [*slot, "key"]).withColumn("truth", F.coalesce("fixed", 1 / (1 + F.exp(-(prior + F.col("base") + F.col("states"))))))
-        truth = odds.select(*slot, "key", "truth")
-        if turn == rounds - 1:
-            return truth
-        truth = scratch.write(truth)
-        mass = truth.groupBy(*slot).agg(F.sum("truth").alias("true_mass"), F.sum(1 - F.col("truth")).alias("false_mass"))
-        seen = covers.join(mass, slot).groupBy("field", "store").agg(F.sum("true_mass").alias("true_mass"), F.sum("false_mass").alias("false_mass"))
-        said = claims.join(truth, [*slot, "key"]).groupBy("field", "store").agg(F.sum("truth").alias("hits"), F.sum(1 - F.col("truth")).alias("misses"))
-        after = seen.join(said, ["field", "store"]).select("field", "store", ((F.col("hits") + a1) / (F.col("true_mass") + a1 + a0)).alias("sens"), ((F.col("misses") + b1) / (F.col("false_mass") + b1 + b0)).alias("fpr"))
-        quality = scratch.write(after)
-        scratch.drop(truth)
-    raise ValueError("rounds must be at least 1")
+    facts, quality = fit(claims, scratch, tolerance, max_rounds)
+    return facts.join(F.broadcast(quality), "field").select(*slot, "key", _truth().alias("truth"))  # a row for each kind of field, of at most MAX_SOURCES numbers
+
+
+def fit(claims: DataFrame, scratch: Scratch, tolerance: float, max_rounds: int) -> tuple[DataFrame, DataFrame]:
+    """``facts`` (``group_id, field, key, states, covers``, sources as numbers) and the qualities of the sources, one row a kind of field:
+    ``names``, ``sens``, ``fpr`` and the log-odds ``denies``, ``states_more`` of each source."""
+    spark, slot = claims.sparkSession, ["group_id", "field"]
+    claims = scratch.write(claims)
+    names = [r["source"] for r in claims.select("source").distinct().orderBy("source").limit(MAX_SOURCES + 1).collect()]
+    if len(names) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
+    numbered = spark.createDataFrame(list(zip(names, range(len(names)), strict=True)), "source string, s int")
+    coded = claims.join(F.broadcast(numbered), "source")  # at most MAX_SOURCES rows
+    # Both arrays hold different sources only.
+    stated = coded.groupBy(*slot, "key").agg(F.array_sort(F.collect_set("s")).alias("states"))
+    covered = coded.groupBy(*slot).agg(F.array_sort(F.collect_set("s")).alias("covers"))
+    facts = scratch.write(stated.join(covered, slot))
+    patterns = scratch.write(facts.groupBy("field", "states", "covers").agg(F.count("*").alias("n")))
+    fields = sorted(r["field"] for r in patterns.select("field").distinct().collect())
+    (a1, a0), (b1, b0) = SENSITIVITY_PRIOR, FALSE_POSITIVE_PRIOR
+    sens, fpr = (np.full((len(fields), len(names)), x / (x + y)) for x, y in (SENSITIVITY_PRIOR, FALSE_POSITIVE_PRIOR))
+    for _ in range(max_rounds):
+        if not fields:
+            break
+        judged = patterns.join(F.broadcast(_quality(spark, fields, names, sens, fpr)), "field").select("field", "n", "states", "covers", _truth().alias("truth"))
+        heard = judged.select("field", "n", "truth", "states", F.explode("covers").alias("s")).withColumn("stated", F.array_contains("states", F.col("s")).cast("int"))
+        true, false = F.col("n") * F.col("truth"), F.col("n") * (1 - F.col("truth"))
+        sums = heard.groupBy("field", "s").agg(F.sum(true).alias("true_mass"), F.sum(false).alias("false_mass"), F.sum(true * F.col("stated")).alias("hits"), F.sum(false * F.col("stated")).alias("misses")).collect()
+        old = sens.copy(), fpr.copy()
+        for r in sums:  # a row for each source and kind of field
+            at = fields.index(r["field"]), r["s"]
+            sens[at] = (r["hits"] + a1) / (r["true_mass"] + a1 + a0)
+            fpr[at] = (r["misses"] + b1) / (r["false_mass"] + b1 + b0)
+        if max(np.abs(sens - old[0]).max(), np.abs(fpr - old[1]).max()) <= tolerance:
+            break
+    return facts, _quality(spark, fields, names, sens, fpr)
+
+
+def _quality(spark, fields: list[str], names: list[str], sens: np.ndarray, fpr: np.ndarray) -> DataFrame:
+    denies = np.log((1 - sens) / (1 - fpr))
+    more = np.log(sens / fpr) - denies
+    rows = [(f, names, sens[i].tolist(), fpr[i].tolist(), denies[i].tolist(), more[i].tolist()) for i, f in enumerate(fields)]
+    return spark.createDataFrame(rows, "field string, names array<string>, sens array<double>, fpr array<double>, denies array<double>, states_more array<double>")
+
+
+def _truth() -> Column:
+    """Probability of a value: the prior odds, "denied" by all sources of its slot, and for its own the difference to "stated"."""
+    total = lambda sources, weights: F.aggregate(sources, F.lit(0.0), lambda acc, s: acc + F.get(F.col(weights), s))
+    odds = F.lit(float(np.log(TRUTH_PRIOR / (1 - TRUTH_PRIOR)))) + total("covers", "denies") + total("states", "states_more")
+    return 1 / (1 + F.exp(-odds))
