@@ -96,7 +96,7 @@ def em_by_hand(claims, tolerance, rounds):
 def planted(n=400, seed=5):
     """Slots of five values of which two are true, stated by sources of known quality."""
     rng = random.Random(seed)
-    known = {"good": (0.95, 0.05), "fair": (0.8, 0.15), "eager": (0.9, 0.5), "shy": (0.5, 0.02), "poor": (0.55, 0.45), "liar": (0.2, 0.7)}
+    known = {"good": (0.95, 0.05), "fair": (0.8, 0.15), "eager": (0.9, 0.5), "shy": (0.7, 0.02), "poor": (0.55, 0.45), "liar": (0.2, 0.7)}
     claims, true = [], {}
     for g in range(n):
         for k in range(5):
