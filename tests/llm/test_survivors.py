@@ -126,7 +126,7 @@ def test_model_as_by_hand_and_planted_qualities(spark, rows):
 def test_rounds_end_at_the_tolerance(spark):
     df = spark.createDataFrame(planted(60)[0], "group_id string, field string, key string, source string")
     ends = [survivors.fit(df, Scratch(spark, "t"), 1e-3, n)[1].first().sens for n in (40, 60)]
-    assert ends[0] == ends[1] and survivors.fit(df, Scratch(spark, "t"), 1e-3, 1)[1].first().sens != ends[0]
+    assert ends[0] == pytest.approx(ends[1], abs=1e-12) and survivors.fit(df, Scratch(spark, "t"), 1e-3, 1)[1].first().sens != ends[0]
 
 
 def test_model_can_overrule_the_fullest_member(spark):
