@@ -92,21 +92,48 @@ def with_best(groups: DataFrame, assets: DataFrame) -> DataFrame:
     return groups.join(best, "group_id")
 
 
-def similar_assets(assets: DataFrame, hashes: DataFrame, config: Similarity = Similarity()) -> DataFrame:
+def near_enough(a: str = "a", b: str = "b", config: Similarity = Similarity()) -> Column:
+    """FLT-13, MTH-07: distance of two descriptors (``kind``, ``vector``) within the threshold of their kind, else null.
+
+    Descriptors of different kinds or lengths, empty or missing ones tell nothing: null.
+    """
+    kind = F.col(f"kind_{a}")
+    limit = F.when(kind == "vision", config.vision_threshold).when(kind == "cpuGrid", config.grid_threshold)
+    distance = euclidean(F.col(f"vector_{a}"), F.col(f"vector_{b}"))
+    return F.when((kind == F.col(f"kind_{b}")) & (distance <= limit), distance)
+
+
+def confirmed_copies(pairs: DataFrame, contents: DataFrame) -> DataFrame:
+    """GRF-06: the rows of ``pairs`` (``a, b``) whose contents are equal, with their ``digest``: equal lengths first, and only for those the SHA-256.
+
+    ``contents`` has ``id, content`` (binary). Content that cannot be read (no row, null) confirms nothing.
+    """
+    length = contents.where("content IS NOT NULL").select("id", F.length("content").alias("n"))
+    side = lambda rows, x, c: rows.select(F.col("id").alias(x), F.col(c).alias(f"{c}_{x}"))
+    same_length = pairs.join(side(length, "a", "n"), "a").join(side(length, "b", "n"), "b").where("n_a = n_b").drop("n_a", "n_b")
+    needed = same_length.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    digests = contents.join(needed, "id", "left_semi").select("id", F.sha2("content", 256).alias("digest"))
+    return same_length.join(side(digests, "a", "digest"), "a").join(side(digests, "b", "digest"), "b").where("digest_a = digest_b").withColumnRenamed("digest_a", "digest").drop("digest_b")
+
+
+def similar_assets(assets: DataFrame, hashes: DataFrame, descriptors: DataFrame, contents: DataFrame, config: Similarity = Similarity()) -> DataFrame:
     """GRF-07: groups of exact and near duplicates with the asset to keep.
 
-    ``group_id, kind, member_ids, best_id, min_distance, max_distance``. Exact: same pattern and same known size,
-    confirmed inside a bucket and then collected over all buckets. Near: every two members
-    at most ``max_hamming`` positions apart and taken together, exact copies aside. The distance is the part of
-    differing positions. Assets hashed more than once count with their latest pattern; those without one are in no group.
+    ``group_id, kind, member_ids, best_id, min_distance, max_distance``. Pairs of a bucket at most ``max_hamming`` positions
+    apart go on. Exact: contents of equal length and digest, collected over all buckets. Near: photos, exact copies
+    aside, whose descriptors (``id, kind, vector``) are within the threshold of their kind; every two members of a group are. Videos have
+    exact groups only. Assets hashed more than once count with their latest pattern; those without one are in no group.
     """
     scratch = Scratch(assets.sparkSession, "similar")
     latest = hashes.where("asset_id IS NOT NULL AND bits IS NOT NULL").groupBy(F.col("asset_id").alias("id")).agg(F.max(F.struct("modified", "bits")).alias("h")).select("id", F.col("h.bits").alias("bits"))
-    bucketed = scratch.write(buckets(assets, scratch).join(latest, "id").select("bucket_id", "route", "id", "bits", "size_bytes"))
-    close = scratch.write(bucket_pairs(bucketed, ["route", "bits", "size_bytes"]).where(hamming(F.col("bits_a"), F.col("bits_b")) <= config.max_hamming))
-    same = (F.col("bits_a") == F.col("bits_b")) & F.coalesce(F.col("size_bytes_a") == F.col("size_bytes_b"), F.lit(False))
-    confirmed = close.where(same).select("bits_a", "size_bytes_a", F.explode(F.array("a", "b")).alias("id"))
-    exact = confirmed.groupBy("bits_a", "size_bytes_a").agg(F.array_sort(F.collect_set("id")).alias("member_ids")).select(F.concat(F.lit("exact:"), F.lower(F.hex("bits_a")), F.lit("-"), F.col("size_bytes_a").cast("string")).alias("group_id"), F.lit("exact").alias("kind"), "member_ids", F.lit(0.0).alias("min_distance"), F.lit(0.0).alias("max_distance"))
-    relations = close.where(~same & (F.col("route_a") == "image")).withColumn("distance", hamming(F.col("bits_a"), F.col("bits_b")) / 64.0)
+    bucketed = scratch.write(buckets(assets, scratch).join(latest, "id").select("bucket_id", "route", "id", "bits"))
+    close = scratch.write(bucket_pairs(bucketed, ["route", "bits"]).where(hamming(F.col("bits_a"), F.col("bits_b")) <= config.max_hamming).select("bucket_id", "a", "b", F.col("route_a").alias("route")))
+    same = scratch.write(confirmed_copies(close, contents))
+    exact = same.select("digest", F.explode(F.array("a", "b")).alias("id")).groupBy("digest").agg(F.array_sort(F.collect_set("id")).alias("member_ids"))
+    exact = exact.select(F.concat(F.lit("exact:"), "digest").alias("group_id"), F.lit("exact").alias("kind"), "member_ids", F.lit(0.0).alias("min_distance"), F.lit(0.0).alias("max_distance"))
+    one = descriptors.where("id IS NOT NULL").groupBy("id").agg(F.max(F.struct("kind", "vector")).alias("d")).select("id", "d.*")
+    side = lambda x: one.select(F.col("id").alias(x), F.col("kind").alias(f"kind_{x}"), F.col("vector").alias(f"vector_{x}"))
+    candidates = close.where("route = 'image'").join(same.select("a", "b"), ["a", "b"], "left_anti")
+    relations = candidates.join(side("a"), "a").join(side("b"), "b").select("bucket_id", "a", "b", near_enough(config=config).alias("distance")).where("distance IS NOT NULL")
     near = link_groups(relations).select(F.concat(F.lit("near:"), F.array_join("member_ids", ",")).alias("group_id"), F.lit("near").alias("kind"), "member_ids", "min_distance", "max_distance")
     return with_best(exact.unionByName(near), assets)
