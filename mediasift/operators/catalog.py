@@ -1,6 +1,6 @@
 """Asset catalog: scans, derived columns, filters, joins and aggregates.
 
-Every function takes and returns DataFrames and adds no action. Null sizes
+Functions take and return DataFrames; only those that are given a scratch folder run anything. Null sizes
 are unknown, never zero; null dates sort as the oldest.
 """
 
@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import MEDIA_TYPES, SCREENSHOT_AGE_S, SOURCE_BITS, SUBTYPE_BITS, Bucketing
+from ..scratch import Scratch
 
 
 def has_bit(mask: Column, bit: int) -> Column:
@@ -147,3 +148,53 @@ def count_flags(df: DataFrame, **conditions: Column) -> DataFrame:
 
 def any_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a | b, conditions)
+
+
+def numbered(rows: DataFrame, order: list[Column], scratch: Scratch) -> DataFrame:
+    """``rows`` with ``number``, counted from 0 in ``order``: a range partitioning, sorted in its parts; only one count a part comes together."""
+    place = scratch.write(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = place.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # one row for each part
+    return place.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn("number", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_before")
+
+
+def chunks(rows: DataFrame, order: list[Column], scratch: Scratch, size: int = 512, cancelled_after: int | None = None) -> DataFrame:
+    """SRC-03: ``chunk, rows, completed, total`` of a scan in chunks of ``size``; a scan that is cancelled after so many chunks stops there."""
+    counted = numbered(rows, order, scratch)
+    total = counted.count()
+    done = counted.groupBy(F.floor(F.col("number") / size).alias("chunk")).agg(F.count("*").alias("rows")).withColumn("completed", F.least((F.col("chunk") + 1) * size, F.lit(total))).withColumn("total", F.lit(total))
+    return done if cancelled_after is None else done.where(F.col("chunk") < cancelled_after)
+
+
+def shuffle_tail(deck: DataFrame, order: list[Column], cursor: int, seed: int, scratch: Scratch, id_col: str = "id") -> DataFrame:
+    """PRF-04: ``id_col, place``: rows before ``cursor`` keep their place in ``order``, the others get a seeded one, the same on any cluster."""
+    placed = numbered(deck, order, scratch).select(id_col, F.col("number").alias("place"))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")).cast("binary"))
+    tail = numbered(placed.where(F.col("place") >= cursor).select(id_col, key.alias("_key")), [F.asc("_key"), F.asc(id_col)], scratch)
+    return placed.where(F.col("place") < cursor).unionByName(tail.select(id_col, (F.col("number") + cursor).alias("place")))
+
+
+def content_reason() -> Column:
+    """SRC-10: why the content of an asset cannot be read, the first reason that holds, null if none."""
+    return (
+        F.when(F.col("is_hidden"), "cancelled").when(has_bit(F.col("source_mask"), SOURCE_BITS["cloud_shared"]), "cloudOnly").when(~F.col("media_type").isin("image", "video"), "error")
+        .when(has_bit(F.col("subtype_mask"), SUBTYPE_BITS["live_photo"]) & (F.col("duration") == 0), "missingMovie").when(F.col("size_bytes").isNull(), "noContent").when(F.col("size_bytes") == 0, "zeroBytes")
+    )
+
+
+def failure_reason(error: str = "error", kind: str = "kind") -> Column:
+    """FLT-19: the reason that is shown for an error; failures of a descriptor go by the kind the run had latched."""
+    e, extraction = F.col(error), F.col(error).isin("backendUnavailable", "invalidImage")
+    content = {"onlyInICloud": "contentOnlyInICloud", "permissionDenied": "permissionUnavailable", "assetNotFound": "assetNotFound", "unavailable": "imageUnavailable"}
+    out = F.when(e == "timeout", "timedOut")
+    for name, reason in content.items():
+        out = out.when(e == name, reason)
+    return out.when(extraction & (F.col(kind) == "vision"), "visionFailed").when(extraction & (F.col(kind) == "cpuGrid"), "cpuDescriptorFailed").otherwise("imageUnavailable")
+
+
+def byte_text(size: Column) -> Column:
+    """FMT-03: decimal megabytes with one digit, from a gigabyte on gigabytes with two, no trailing zeros; nothing and less is ``0 GB``. Null stays null."""
+    plain = lambda x: F.regexp_replace(x.cast("string"), r"\.?0+$", "")
+    amount = lambda unit, digits: F.round(size.cast("decimal(38,0)") / F.lit(unit).cast("decimal(20,0)"), digits).cast(f"decimal(30,{digits})")
+    return F.when(size <= 0, "0 GB").when(amount(10**6, 1) < 1000, F.concat(plain(amount(10**6, 1)), F.lit(" MB"))).when(size > 0, F.concat(plain(amount(10**9, 2)), F.lit(" GB")))

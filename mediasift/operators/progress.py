@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Throughput
@@ -65,6 +65,23 @@ def rates(samples: DataFrame, config: Throughput = Throughput()) -> DataFrame:
     return ordered.mapInPandas(fold, f"run {kind}, stage string, completed double, total double, rate double, samples int")
 
 
+def review_log(events: DataFrame, session: list[str], item: str, order: list[str], decision: str) -> DataFrame:
+    """WIN-09: ``session..., item, decision`` after a log of decisions and undos (null ``decision``).
+
+    An undo takes back the latest decision that still stands, and its item has the decision from before again, if any; with nothing left to
+    undo it changes nothing. As balanced brackets: a decision stands if the height after it is never gone below later, which running sums and
+    minima tell in one pass each way over the sorted session. Rows of a null session are left out.
+    """
+    rows = events.where(F.concat(*[F.col(c).cast("string") for c in session]).isNotNull())
+    forth = Window.partitionBy(*session).orderBy(*order)
+    back = Window.partitionBy(*session).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    step = F.when(F.col(decision).isNull(), -1).otherwise(1)
+    # Undos with nothing to undo do not count: heights are taken from the lowest sum so far.
+    level = rows.withColumn("_sum", F.sum(step).over(forth)).withColumn("_level", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(forth)))
+    stands = level.withColumn("_low", F.min("_level").over(back)).where(F.col(decision).isNotNull() & (F.col("_low").isNull() | (F.col("_low") >= F.col("_level"))))
+    return stands.groupBy(*session, item).agg(F.max_by(decision, F.struct(*order)).alias("decision"))
+
+
 def estimate(c: Throughput = Throughput()) -> tuple[Column, Column]:
     """WIN-06: state and whole seconds left from ``completed, total, rate, samples``."""
     left = F.col("total") - F.col("completed")

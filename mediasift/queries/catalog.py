@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import catalog as C
 from ..sources import sinks
+from ..scratch import Scratch
 from . import Tables, query
 
 NOW = "2024-02-01 00:00:00"
@@ -32,10 +33,11 @@ def src_02(t):
     return C.page(t.assets, 100, 200).select("id", "created")
 
 
-@query("src_03")
+@query("src_03", f"WITH v AS (SELECT row_number() OVER (ORDER BY {_NEWEST}) - 1 AS k, count(*) OVER () AS total FROM assets WHERE {_VISIBLE}) SELECT k // 512 AS chunk, count(*) AS rows, max(k) + 1 AS completed, max(total) AS total FROM v WHERE k // 512 < 30 GROUP BY 1")
 def src_03(t):
-    """Rows read by each task of the scan, as a progress log."""
-    return C.visible(t.assets).groupBy(F.spark_partition_id().alias("chunk")).agg(F.count("*").alias("rows"))
+    """Progress of a scan in chunks, newest first, cancelled after thirty of them."""
+    order = [F.desc_nulls_last("created"), F.asc_nulls_last("id")]
+    return C.chunks(C.visible(t.assets), order, Scratch(t.spark, "chunks"), cancelled_after=30)
 
 
 @query("src_04", "SELECT id, given, family, organization, len(phones)::INT AS n_phones, len(emails)::INT AS n_emails FROM contacts")
@@ -75,7 +77,7 @@ _RESOLVE = "CASE WHEN is_hidden THEN 'cancelled' WHEN (source_mask & 2) <> 0 THE
 @query("src_10", f"SELECT id, CASE WHEN r IS NULL THEN size_bytes END AS bytes, r AS reason FROM (SELECT id, size_bytes, {_RESOLVE} AS r FROM assets)")
 def src_10(t):
     """Content bytes or the first reason against them."""
-    return t.assets.withColumn("reason", F.expr(_RESOLVE)).select("id", F.when(F.col("reason").isNull(), F.col("size_bytes")).alias("bytes"), "reason")
+    return t.assets.withColumn("reason", C.content_reason()).select("id", F.when(F.col("reason").isNull(), F.col("size_bytes")).alias("bytes"), "reason")
 
 
 @query("src_12", "SELECT id, coalesce(CASE WHEN least(width, height) >= 2160 THEN 2160 END, CASE WHEN least(width, height) >= 1080 THEN 1080 END, CASE WHEN least(width, height) >= 480 THEN 480 END) AS rendition FROM assets")
@@ -318,13 +320,13 @@ def agg_19(t):
 
 @query("agg_20", f"SELECT reason, count(*) AS n FROM (SELECT {_RESOLVE} AS reason FROM assets) WHERE reason IS NOT NULL GROUP BY reason")
 def agg_20(t):
-    return t.assets.select(F.expr(_RESOLVE).alias("reason")).where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))
+    return t.assets.select(C.content_reason().alias("reason")).where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query("agg_21")
+@query("agg_21", f"SELECT media_type, reason, count(*) AS n, round(sum(duration), 3) AS duration FROM (SELECT *, coalesce({_RESOLVE}, 'ok') AS reason FROM assets) GROUP BY ALL")
 def agg_21(t):
     """Run metrics: rows and duration sums by reason and media type."""
-    return t.assets.withColumn("reason", F.coalesce(F.expr(_RESOLVE), F.lit("ok"))).groupBy("media_type", "reason").agg(F.count("*").alias("n"), F.round(F.sum("duration"), 3).alias("duration"))
+    return t.assets.withColumn("reason", F.coalesce(C.content_reason(), F.lit("ok"))).groupBy("media_type", "reason").agg(F.count("*").alias("n"), F.round(F.sum("duration"), 3).alias("duration"))
 
 
 @query("srt_01", "SELECT id, size_bytes, created FROM assets WHERE media_type = 'video' ORDER BY size_bytes DESC NULLS LAST, created DESC NULLS LAST, id")
@@ -359,3 +361,9 @@ def fmt_02(t):
     two = lambda c: F.lpad(c.cast("bigint").cast("string"), 2, "0")
     long = F.concat_ws(":", F.floor(s / 3600).cast("string"), two(F.floor((s % 3600) / 60)), two(s % 60))
     return t.assets.where("media_type = 'video'").select("id", F.when(s >= 3600, long).otherwise(F.concat_ws(":", F.floor(s / 60).cast("string"), two(s % 60))).alias("duration_text"))
+
+
+@query("fmt_03", "SELECT id, CASE WHEN s IS NULL THEN NULL WHEN s <= 0 THEN '0 GB' WHEN s < 999950000 THEN regexp_replace(format('{:.1f}', round(s / 1e6, 1)), '\\.0$', '') || ' MB' ELSE regexp_replace(format('{:.2f}', round(s / 1e9, 2)), '\\.?0+$', '') || ' GB' END AS size_text FROM (SELECT DISTINCT id, size_bytes * (CASE WHEN width % 7 = 0 THEN 1000 ELSE 1 END) AS s FROM assets)")
+def fmt_03(t):
+    size = F.col("size_bytes") * F.when(F.col("width") % 7 == 0, 1000).otherwise(1)
+    return t.assets.select("id", size.alias("s")).distinct().select("id", C.byte_text(F.col("s")).alias("size_text"))

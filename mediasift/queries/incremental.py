@@ -38,17 +38,19 @@ def prf_02(t):
     return t.documents.where("source IS NOT NULL").groupBy("lang").agg(F.min_by("source", F.struct(rank, "doc_id")).alias("worst"))
 
 
-@query("prf_03", "SELECT conflict_id, max(kept) AS kept FROM (SELECT DISTINCT conflict_id, kept FROM merge_conflicts WHERE conflict_id > 40) GROUP BY conflict_id")
+@query("prf_03", "WITH c AS (SELECT conflict_id, max(kept) AS kept FROM merge_conflicts WHERE conflict_id % 3 = 0 GROUP BY 1), o AS (SELECT conflict_id, max(coalesce(not_copied, '')) AS kept FROM merge_conflicts WHERE conflict_id > 40 AND conflict_id % 2 = 0 GROUP BY 1) SELECT conflict_id, CASE WHEN c.conflict_id IS NULL THEN o.kept WHEN o.conflict_id IS NULL THEN c.kept ELSE greatest(coalesce(c.kept, ''), o.kept) END AS kept FROM c FULL JOIN o USING (conflict_id)")
 def prf_03(t):
-    """Offered rows above a blocked sequence, the greatest of each key."""
-    offered = t.merge_conflicts.select("conflict_id", "kept")
-    return E.accept_newer(offered.where(F.lit(False)), offered, ["conflict_id"], ["kept"]).where("conflict_id > 40")
+    """The greater of stored and offered rows of each key; offered ones at or below the blocked sequence are refused."""
+    stored = t.merge_conflicts.where("conflict_id % 3 = 0").select("conflict_id", F.col("conflict_id").alias("sequence"), "kept")
+    offered = t.merge_conflicts.where("conflict_id % 2 = 0").select("conflict_id", F.col("conflict_id").alias("sequence"), F.coalesce("not_copied", F.lit("")).alias("kept"))
+    return E.accept_newer(stored, offered, ["conflict_id"], ["sequence"], blocked=40).select("conflict_id", "kept")
 
 
-@query("prf_04")
+@query("prf_04", "WITH d AS (SELECT DISTINCT id, created FROM assets WHERE media_type = 'image'), k AS (SELECT id, row_number() OVER (ORDER BY created NULLS FIRST, id) - 1 AS place FROM d) SELECT id, CASE WHEN place < 200 THEN place ELSE 200 + row_number() OVER (PARTITION BY place < 200 ORDER BY md5('7:' || id), id) - 1 END AS place FROM k")
 def prf_04(t):
-    """The not yet reviewed part of a deck in a seeded order: the same for a seed, on any cluster."""
-    return t.assets.select("id", "created").distinct().where("created >= TIMESTAMP_NTZ '2022-01-01 00:00:00'").orderBy(F.xxhash64(F.lit(7), "id"))
+    """A deck whose rows from the cursor on are put into a seeded order; those before it keep their places."""
+    deck = t.assets.where("media_type = 'image'").select("id", "created").distinct()
+    return C.shuffle_tail(deck, [F.asc_nulls_first("created"), F.asc("id")], 200, 7, Scratch(t.spark, "deck"))
 
 
 @query("stm_01", "SELECT media_type, count(*) AS n FROM assets GROUP BY media_type")
@@ -122,11 +124,26 @@ def stm_09(t):
     return sinks.SnapshotStore(t.spark, folder, 1).load_latest()
 
 
-@query("flt_19", "SELECT event_type, CASE WHEN event_type = 'error' THEN 'timedOut' WHEN event_type = 'view' THEN 'cloudOnly' WHEN event_type = 'click' THEN 'notFound' ELSE 'unknown' END AS reason, count(*) AS n FROM events GROUP BY 1")
+@query("stm_10", f"SELECT id, max(coalesce(epoch_us(modified), -1)) AS newest FROM ({_EVIDENCE}) WHERE id IS NOT NULL AND bits % 2 = 0 GROUP BY id")
+def stm_10(t):
+    """A run paused: what has come in is published at once. Evidence of another run (the odd patterns) is refused."""
+    s = Scratch(t.spark, "pause")
+    rows = evidence(t).where("id IS NOT NULL AND bits IS NOT NULL").withColumn("run_id", F.abs(F.col("bits") % 2).cast("int"))
+    rows.repartition(4).write.parquet(f"{s.root}/in")
+    run = E.EvidenceStream(t.spark, f"{s.root}/in", f"{s.root}/out", f"{s.root}/checkpoint", rows.schema, run_id=0, files_per_batch=2)
+    run.pause(run.start("100 milliseconds"))
+    return run.load().select("id", F.coalesce(F.unix_micros(F.col("modified").cast("timestamp")), F.lit(-1)).alias("newest"))
+
+
+_ERRORS = ["timeout", "onlyInICloud", "permissionDenied", "assetNotFound", "unavailable", "backendUnavailable", "invalidImage", "other"]
+
+
+@query("flt_19", "SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'timedOut' WHEN 1 THEN 'contentOnlyInICloud' WHEN 2 THEN 'permissionUnavailable' WHEN 3 THEN 'assetNotFound' WHEN 5 THEN d WHEN 6 THEN d ELSE 'imageUnavailable' END AS reason FROM (SELECT event_id, CASE event_type WHEN 'error' THEN 'visionFailed' WHEN 'view' THEN 'cpuDescriptorFailed' ELSE 'imageUnavailable' END AS d FROM events)")
 def flt_19(t):
-    """Codes classified into reasons, the first rule that fits."""
-    reason = F.when(F.col("event_type") == "error", "timedOut").when(F.col("event_type") == "view", "cloudOnly").when(F.col("event_type") == "click", "notFound").otherwise("unknown")
-    return t.events.groupBy("event_type").agg(F.count("*").alias("n")).select("event_type", reason.alias("reason"), "n")
+    """Errors of all families, by number, with the kind of descriptor of the run, by event type."""
+    error = F.element_at(F.array(*map(F.lit, _ERRORS)), (F.col("event_id") % 8 + 1).cast("int"))
+    kind = F.when(F.col("event_type") == "error", "vision").when(F.col("event_type") == "view", "cpuGrid")
+    return t.events.select("event_id", error.alias("error"), kind.alias("kind")).select("event_id", C.failure_reason().alias("reason"))
 
 
 @query("snk_03", "SELECT count(*) AS assets, sum(size_bytes)::BIGINT AS bytes, count(*) = count(size_bytes) AS is_exact FROM assets")

@@ -1,8 +1,8 @@
 """Incremental evidence: a file stream folded into the latest row of each key.
 
 A run reads what is new since its last checkpoint (``availableNow``), keeps
-the newest evidence of every asset, and publishes the result as one snapshot a
-batch. Evidence of another run is ignored; a batch that is delivered again
+the newest evidence of every asset, and adds what a batch brings to the published snapshot, which is
+folded as it grows and not rewritten with each batch. Evidence of another run is ignored; a batch that is delivered again
 changes nothing, because newer or equal rows are already there.
 """
 
@@ -61,9 +61,15 @@ class EvidenceStream:
 
     def _merge(self, batch: DataFrame, _: int) -> None:
         fresh = batch if self.run_id is None else batch.where(F.col("run_id") == self.run_id)
-        current = self.store().load_latest()
-        rows = fresh if current is None else current.unionByName(fresh)
-        self.store().save(latest(rows, list(self.key), list(self.order)))
+        self.store().append(fresh, self._fold)
+
+    def _fold(self, rows: DataFrame) -> DataFrame:
+        return latest(rows, list(self.key), list(self.order))
+
+    def load(self) -> DataFrame | None:
+        """The latest row of each key."""
+        found = self.store().load_latest()
+        return None if found is None else self._fold(found)
 
     def start(self, interval: str | None = None) -> StreamingQuery:
         """Reads what is there and stops; with ``interval`` (STM-03: three seconds) it goes on."""
@@ -75,7 +81,7 @@ class EvidenceStream:
         """STM-08/09: one catch-up run, then the published snapshot."""
         query = self.start()
         query.awaitTermination()
-        return self.store().load_latest()
+        return self.load()
 
     def pause(self, query: StreamingQuery) -> None:
         """STM-10: stops after the batch in progress has been published."""

@@ -9,9 +9,14 @@ def contact(i, given=None, family=None, org=None, phones=(), emails=()):
 
 
 FIXTURE = [
-    contact("01", "Mara", "Voss", "", ["+1 (555) 010-1234"], ["mara.voss@example.com"]), contact("02", "Mara", "Voss", "", ["+1 555 010 1234"], ["m.voss@example.com"]), contact("03", "Iris", "Vale", None, ["+15550107777"]), contact("04", "Iris", "Vale", None, ["(555) 010-7777"]),
-    contact("05", "Owen", "Blake", "Brightlabs", [], ["owen.blake@example.com"]), contact("06", "O.", "Blake", "Brightlabs", [], ["owen.blake@example.com"]), contact("07", "Tess", "Rivera", "Brightlabs", ["+1 555 010 4242"]), contact("08", "Tess", "Rivera", "Brightlabs", ["+1 555 010 9999"]),
-    contact("09", "Jules", "Marion", None, ["+1 555 010 0101"], ["jules@example.com"]), contact("10", "Ren", "Otis", "Otis & Co", ["+1 555 010 0202"]), contact("11"), (None, "Mara", "Voss", None, None, None, None, None),
+    # A phone typed in two ways, beside different emails; and one with the country code only once.
+    contact("k1", "Ulla", "Brandvik", "", ["+47 (212) 334-5566"], ["ulla@fjord.test"]), contact("k2", "Ulla", "Brandvik", "", ["+47 212 334 5566"], ["u.brandvik@fjord.test"]),
+    contact("k3", "Teo", "Sandoval", None, ["+12024440188"]), contact("k4", "Teo", "Sandoval", None, ["(202) 444-0188"]),
+    # An email, a name with its organisation, and contacts that share nothing usable.
+    contact("k5", "Nadia", "Ferrant", "Quarry Nine", [], ["nadia@quarry.test"]), contact("k6", "N.", "Ferrant", "Quarry Nine", [], ["nadia@quarry.test"]),
+    contact("k7", "Bo", "Lindqvist", "Quarry Nine", ["+1 202 444 0301"]), contact("k8", "Bo", "Lindqvist", "Quarry Nine", ["+1 202 444 0302"]),
+    contact("k9", "Imre", "Palotas", None, ["+1 202 444 0401"], ["imre@palotas.test"]), contact("l1", "Yuki", "Arakawa", "Arakawa Press", ["+1 202 444 0402"]), contact("l2"),
+    (None, "Ulla", "Brandvik", None, None, None, None, None),
 ]
 
 
@@ -20,7 +25,7 @@ def groups(spark, rows):
 
 
 def test_fixture_groups(spark):
-    assert groups(spark, FIXTURE) == [(["01", "02"], ["sharedPhone"]), (["03", "04"], ["sharedPhone"]), (["05", "06"], ["sharedEmail"]), (["07", "08"], ["sharedNameAndOrganization"])]
+    assert groups(spark, FIXTURE) == [(["k1", "k2"], ["sharedPhone"]), (["k3", "k4"], ["sharedPhone"]), (["k5", "k6"], ["sharedEmail"]), (["k7", "k8"], ["sharedNameAndOrganization"])]
 
 
 def test_key_cap(spark):
@@ -35,9 +40,9 @@ def test_chain_of_reasons_and_empty(spark):
 
 
 def test_merge_plan(spark):
-    rows = [contact("a", "", "Voss", "Lab", ["555 0001"], ["a@x"]), contact("b", "Mara", "Vos", None, ["5550001", "555-0002", "none"], ["A@X", "b@x"]), contact("c", "Mary", "Voss", "Lab", ["5550002", "none"], ["odd"])]
+    rows = [contact("a", "", "Ekberg", "Lab", ["555 0001"], ["a@x"]), contact("b", "Siri", "Ekber", None, ["5550001", "555-0002", "none"], ["A@X", "b@x"]), contact("c", "Sira", "Ekberg", "Lab", ["5550002", "none"], ["odd"])]
     g = spark.createDataFrame([("g", ["c", "a", "b", "gone"])], "group_id string, member_ids array<string>")
     p = I.merge_plan(spark.createDataFrame(rows, CONTACT), g).first()
     assert (p.destination_id, p.source_ids, p.phones, p.emails) == ("a", ["b", "c"], ["555-0002", "none"], ["b@x", "odd"])
-    assert (p.given, p.family, p.organization) == ("Mara", "Voss", "Lab")
-    assert [tuple(x) for x in p.conflicts] == [("given", "Mara", "Mary"), ("family", "Voss", "Vos")]
+    assert (p.given, p.family, p.organization) == ("Siri", "Ekberg", "Lab")
+    assert [tuple(x) for x in p.conflicts] == [("given", "Siri", "Sira"), ("family", "Ekberg", "Ekber")]

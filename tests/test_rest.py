@@ -1,13 +1,18 @@
+import random
 from datetime import datetime
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from mediasift.config import Sharpness
+from mediasift.operators import catalog as C
 from mediasift.operators import progress as P
 from mediasift.operators import selection as S
 from mediasift.operators import sharpness as K
+from mediasift.operators import similarity as M
+from mediasift.scratch import Scratch
 from mediasift.skew import join_on_hot_key
 from mediasift.sources import sinks
 from mediasift.streaming.evidence import EvidenceStream, accept_newer, reconcile
@@ -75,9 +80,64 @@ def test_snapshots_replace_and_mismatch_reads_as_none(spark, rows):
     store.save(spark.range(3))
     store.save(store.load_latest().where("id > 0"))
     assert rows(store.load_latest()) == [(1,), (2,)] and sinks.SnapshotStore(spark, folder, 2).load_latest() is None
-    store._write_marker({"odd": 1})
-    assert store.load_latest() is None
+    reader = store.load_latest()
+    store.save(spark.range(5))
+    assert reader.count() == 2 and store.load_latest().count() == 5  # a reader of the former snapshot goes on
+    broken = Path(store.folder.removeprefix("file://")) / "marker-000000000009.json"
+    broken.write_text("{")
+    assert store.load_latest().count() == 5
+    store.save(spark.range(6))
+    assert store.load_latest().count() == 6 and store._markers()[0][0] == 10
     store.clear()
+    assert store.load_latest() is None
+
+
+def test_appended_parts_are_folded_as_they_grow(spark, rows):
+    store = sinks.SnapshotStore(spark, sinks.scratch_folder(spark, "t"), 1)
+    fold = lambda df: df.groupBy("k").agg(F.max("v").alias("v"))
+    expected, written = {}, 0
+    for i in range(24):
+        part = [(k, i) for k in range(i * 10, i * 10 + 12)]
+        expected |= dict(part)
+        store.append(spark.createDataFrame(part, "k int, v int"), fold)
+        written += sum(p["rows"] for p in store._parts()[-1:])
+    assert rows(fold(store.load_latest())) == sorted(expected.items(), key=str)
+    assert len(store._parts()) <= 6 and written < 12 * 24 * 6
+
+
+def test_review_log_as_a_stack(spark, rows):
+    rng = random.Random(4)
+    log, expected = [], []
+    for user in range(8):
+        stack = []
+        for n in range(60):
+            decision = None if rng.random() < 0.4 else rng.choice(["keep", "delete"])
+            item = f"i{rng.randrange(9)}"
+            log.append((user, item, n, decision))
+            if decision:
+                stack.append((item, decision))
+            elif stack:
+                stack.pop()
+        expected += [(user, i, d) for i, d in dict(stack).items()]
+    df = spark.createDataFrame([*log, (None, "i", 1, "keep")], "user int, item string, n int, decision string")
+    assert rows(P.review_log(df, ["user"], "item", ["n"], "decision")) == sorted(expected, key=str)
+
+
+def test_numbers_and_chunks(spark, rows):
+    df = spark.range(1300).select((F.col("id") * 7919 % 1300).alias("v"))
+    got = C.numbered(df, [F.desc("v")], Scratch(spark, "t"))
+    assert got.where("number <> 1299 - v").isEmpty() and got.count() == 1300
+    assert rows(C.chunks(df, [F.asc("v")], Scratch(spark, "t"), 512)) == [(0, 512, 512, 1300), (1, 512, 1024, 1300), (2, 276, 1300, 1300)]
+    assert C.chunks(df.where("v < 0"), [F.asc("v")], Scratch(spark, "t")).count() == 0
+
+
+def test_near_pairs_need_descriptors_of_one_kind(spark, rows):
+    data = [("vision", "vision", [0.0, 0.19]), ("vision", "vision", [0.0, 0.21]), ("cpuGrid", "cpuGrid", [0.0, 0.16]), ("cpuGrid", "cpuGrid", [0.1, 0.1]), ("vision", "cpuGrid", [0.0, 0.0]), ("vision", "vision", []), (None, "vision", [0.0, 0.0])]
+    df = spark.createDataFrame([(i, a, b, [0.0, 0.0], v) for i, (a, b, v) in enumerate(data)], "i int, kind_a string, kind_b string, vector_a array<double>, vector_b array<double>")
+    assert [r.i for r in df.where(M.near_enough().isNotNull()).collect()] == [0, 3]
+    content = spark.createDataFrame([("a", b"xy"), ("b", b"xy"), ("c", b"xz"), ("d", b"xyz"), ("e", None)], "id string, content binary")
+    pairs = spark.createDataFrame([("a", "b"), ("a", "c"), ("a", "d"), ("a", "e"), ("b", "gone")], "a string, b string")
+    assert rows(M.confirmed_copies(pairs, content), "a", "b") == [("a", "b")]
 
 
 def test_stream_resumes_and_ignores_other_runs(spark, rows):
@@ -111,4 +171,4 @@ def test_hot_keys_are_salted_without_loss(spark):
 def test_queries_have_callables_and_sql_names(spark):
     import __spark_entry__ as e
 
-    assert set(e.oracle_sql()) <= set(e.queries()) and len(e.oracle_sql()) > 140
+    assert set(e.oracle_sql()) <= set(e.queries()) and len(e.oracle_sql()) > 155
