@@ -39,9 +39,16 @@ def known_media_type(assets: DataFrame) -> DataFrame:
     return assets.withColumn("media_type", F.when(F.col("media_type").isin(MEDIA_TYPES), F.col("media_type")).otherwise("unknown"))
 
 
-def first_positive(*probes: Column) -> Column:
-    """SRC-07: the first probe with a positive answer; zero is no size."""
-    return F.coalesce(*[F.when(p > 0, p) for p in probes])
+def size_ladder(resource: Column, current: Column, current_remote: Column, original: Column, original_remote: Column, editing: Column, data: Column) -> Column:
+    """SRC-07: bytes of an asset by five probes, the first positive answer wins; zero is no size.
+
+    Where the current or the original file is known to be remote, nothing further down can hold local bytes: null.
+    """
+    remote = lambda c: F.coalesce(c, F.lit(False))
+    return (
+        F.when(resource > 0, resource).when(remote(current_remote), None).when(current > 0, current).when(remote(original_remote), None)
+        .when(original > 0, original).when(editing > 0, editing).when(data > 0, data)
+    )
 
 
 def outcomes(requested: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import KEY_CAP
 from ..functions.normalize import email_key, group_id, name_key, phone_keys
 from ..scratch import Scratch
+from ..ship import ship
 
 REASONS = {"phone": "sharedPhone", "email": "sharedEmail", "name": "sharedNameAndOrganization"}
 
@@ -89,28 +93,98 @@ def merge_plan(contacts: DataFrame, groups: DataFrame) -> DataFrame:
     """
     c = contacts.where("id IS NOT NULL").groupBy("id").agg(F.min(F.struct("given", "family", "organization", "phones", "emails")).alias("r")).select("id", "r.*")
     members = groups.select("group_id", F.explode("member_ids").alias("id")).distinct().join(c, "id")
-    none = F.array().cast("array<string>")
     raw = lambda v: F.concat(F.lit("raw:"), F.coalesce(v, F.lit("")))
     phone = lambda x: F.struct(F.coalesce(x["value"], F.lit("")).alias("value"), F.when(F.size(phone_keys(x["value"])) > 0, phone_keys(x["value"])).otherwise(F.array(raw(x["value"]))).alias("keys"))
     email = lambda x: F.struct(F.coalesce(x["value"], F.lit("")).alias("value"), F.array(F.coalesce(email_key(x["value"]), raw(x["value"]))).alias("keys"))
     listed = members.select("group_id", "id", text("given").alias("given"), text("family").alias("family"), text("organization").alias("organization"), F.coalesce(F.transform("phones", phone), F.array()).alias("phones"), F.coalesce(F.transform("emails", email), F.array()).alias("emails"))
-    # Groups are made of keys with at most KEY_CAP members, so their lists stay small.
-    gathered = listed.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("id", "given", "family", "organization", "phones", "emails"))).alias("m"))
-    first = F.get("m", F.lit(0))
-    others = F.slice("m", 2, F.greatest(F.size("m") - 1, F.lit(0)))
-
-    def appended(field: str) -> Column:
-        seen = F.aggregate(first[field], none, lambda acc, x: F.concat(acc, x["keys"]))
-        start = F.struct(seen.alias("seen"), none.alias("out"))
-        values = F.flatten(F.transform(others, lambda m: m[field]))
-        step = lambda acc, x: F.when(F.arrays_overlap(acc["seen"], x["keys"]), acc).otherwise(F.struct(F.concat(acc["seen"], x["keys"]).alias("seen"), F.concat(acc["out"], F.array(x["value"])).alias("out")))
-        return F.aggregate(values, start, step, lambda acc: acc["out"])
-
-    def kept(field: str) -> Column:
-        return F.coalesce(F.get(F.filter(F.transform("m", lambda m: m[field]), lambda v: v != ""), F.lit(0)), F.lit(""))
-
-    def conflicts(field: str) -> Column:
-        differing = F.filter(F.transform(others, lambda m: m[field]), lambda v: (v != "") & (v != kept(field)))
-        return F.transform(differing, lambda v: F.struct(F.lit(field).alias("field"), kept(field).alias("kept"), v.alias("not_copied")))
-
-    return gathered.select("group_id", first["id"].alias("destination_id"), F.transform(others, lambda m: m["id"]).alias("source_ids"), appended("phones").alias("phones"), appended("emails").alias("emails"), *[kept(f).alias(f) for f in ("given", "family", "organization")], F.concat(*[conflicts(f) for f in ("given", "family", "organization")]).alias("conflicts"))
+    # One pass over each group in order: what is held of it are its result and the keys seen, never its contacts.
+    ordered = listed.repartition("group_id").sortWithinPartitions("group_id", "id")
+    ship(contacts.sparkSession)
+    return ordered.mapInPandas(_fold_groups, PLAN)
+
+
+PLAN = "group_id string, destination_id string, source_ids array<string>, phones array<string>, emails array<string>, given string, family string, organization string, conflicts array<struct<field: string, kept: string, not_copied: string>>"
+_NAMES = ("given", "family", "organization")
+
+
+class _Merge:
+    """The plan of one group, member by member; the first is the destination."""
+
+    def __init__(self, group: str):
+        self.group, self.ids = group, []
+        self.seen = {"phones": set(), "emails": set()}
+        self.added: dict[str, list[str]] = {"phones": [], "emails": []}
+        self.kept, self.lost = dict.fromkeys(_NAMES, ""), {f: [] for f in _NAMES}
+
+    def add(self, id_: str, names: dict[str, str], lists: dict[str, list]) -> None:
+        for f, value in names.items():
+            if value and not self.kept[f]:
+                self.kept[f] = value
+            elif value and value != self.kept[f]:
+                self.lost[f].append({"field": f, "kept": self.kept[f], "not_copied": value})
+        for f, values in lists.items():
+            for x in values:
+                keys = set(x["keys"])
+                if not self.ids:
+                    self.seen[f] |= keys
+                elif not self.seen[f] & keys:
+                    self.seen[f] |= keys
+                    self.added[f].append(x["value"])
+        self.ids.append(id_)
+
+    def row(self) -> tuple:
+        return self.group, self.ids[0], self.ids[1:], self.added["phones"], self.added["emails"], *self.kept.values(), [x for f in _NAMES for x in self.lost[f]]
+
+
+def _fold_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [x.split()[0] for x in PLAN.split(", ", 8)[:8]] + ["conflicts"]
+    merge: _Merge | None = None
+    for pdf in batches:
+        done = []
+        for r in pdf.itertuples(index=False):
+            if merge is None or r.group_id != merge.group:
+                if merge:
+                    done.append(merge.row())
+                merge = _Merge(r.group_id)
+            merge.add(r.id, {f: getattr(r, f) for f in _NAMES}, {"phones": r.phones, "emails": r.emails})
+        if done:
+            yield pd.DataFrame(done, columns=names)
+    if merge:
+        yield pd.DataFrame([merge.row()], columns=names)
+
+
+def apply_merges(live: DataFrame, plans: DataFrame) -> DataFrame:
+    """PLN-04: ``live`` after ``plans``: destinations with the values that are appended, without the sources. Other columns stay as they are."""
+    item = lambda c: F.transform(c, lambda v: F.struct(F.lit(None).cast("string").alias("label"), v.alias("value"), F.lit(None).cast("string").alias("normalized")))
+    more = plans.select(F.col("destination_id").alias("id"), F.col("phones").alias("_phones"), F.col("emails").alias("_emails"))
+    gone = plans.select(F.explode("source_ids").alias("id")).distinct()
+    kept = live.join(gone, "id", "left_anti").join(more, "id", "left")
+    for c in ("phones", "emails"):
+        kept = kept.withColumn(c, F.when(F.col(f"_{c}").isNull(), F.col(c)).otherwise(F.concat(F.coalesce(F.col(c), F.array().cast(live.schema[c].dataType)), item(F.col(f"_{c}")).cast(live.schema[c].dataType))))
+    return kept.drop("_phones", "_emails")
+
+
+def merge_outcomes(plans: DataFrame, reviewed: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """PLN-04: ``group_id, outcome, planned, removed`` of each plan.
+
+    ``invalidMerge`` if the plan makes no sense, ``stale`` if a contact is missing or not as it was ``reviewed`` when the change begins (``before``; such
+    plans must not be applied), ``verificationFailed`` if ``after`` lacks the destination or one of the appended values (by match keys), else
+    ``succeeded``; ``removed`` counts the sources that are really gone.
+    """
+    members = plans.select("group_id", "destination_id", F.explode(F.concat(F.array("destination_id"), "source_ids")).alias("id"))
+    signed = lambda df, c: df.where("id IS NOT NULL").select("id", canonical_row().alias(c)).groupBy("id").agg(F.min(c).alias(c))
+    state = members.join(signed(reviewed, "was"), "id", "left").join(signed(before, "now"), "id", "left").join(signed(after, "later"), "id", "left")
+    facts = state.groupBy("group_id").agg(
+        F.max(F.col("now").isNull() | (F.col("now") != F.coalesce("was", F.lit("")))).alias("drifted"),
+        F.max((F.col("id") == F.col("destination_id")) & F.col("later").isNotNull()).alias("arrived"), F.count_if((F.col("id") != F.col("destination_id")) & F.col("later").isNull()).alias("removed"),
+    )
+    phone = lambda v: F.when(F.size(phone_keys(v)) > 0, phone_keys(v)).otherwise(F.array(F.concat(F.lit("raw:"), v)))
+    email = lambda v: F.array(F.coalesce(email_key(v), F.concat(F.lit("raw:"), v)))
+    have = after.where("id IS NOT NULL").select(F.col("id").alias("destination_id"), *[F.flatten(F.transform(F.coalesce(F.transform(c, lambda x: F.coalesce(x["value"], F.lit(""))), F.array().cast("array<string>")), key)).alias(f"have_{c}") for c, key in (("phones", phone), ("emails", email))])
+    absent = lambda c, key: F.exists(c, lambda v: ~F.arrays_overlap(F.col(f"have_{c}"), key(v)))
+    lacking = plans.join(have, "destination_id").groupBy("group_id").agg(F.min(F.coalesce(absent("phones", phone) | absent("emails", email), F.lit(False))).alias("lacking"))
+    sources = F.col("source_ids")
+    valid = (F.size(sources) > 0) & (F.size(F.array_distinct(sources)) == F.size(sources)) & ~F.array_contains(sources, F.col("destination_id"))
+    outcome = F.when(~valid, "invalidMerge").when(F.col("drifted"), "stale").when(~F.col("arrived") | F.col("lacking"), "verificationFailed").otherwise("succeeded")
+    done = outcome.isin("succeeded")
+    return plans.join(facts, "group_id").join(lacking, "group_id", "left").select("group_id", outcome.alias("outcome"), F.size(sources).alias("planned"), F.when(done, F.col("removed")).otherwise(0).alias("removed"))

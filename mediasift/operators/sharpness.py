@@ -46,6 +46,54 @@ def measure(luma: np.ndarray, blocks: int = Sharpness.blocks) -> tuple[float, ..
     return float(lap.var()), float(energy.mean()), float(means[int((k - 1) * 0.9)]), float(median), float(g.mean()), float(g.std())
 
 
+def _weights(n: int, side: int, scale: float) -> np.ndarray:
+    """Rows of weights that bring ``n`` samples to the middle ``side`` of ``n * scale``: boxes where it shrinks, triangles where it grows."""
+    at = (np.arange(side) + 0.5 - side / 2) / scale + n / 2
+    left, right = np.arange(n)[None, :], np.arange(1, n + 1)[None, :]
+    if scale <= 1:
+        w = np.clip(np.minimum(right, at[:, None] + 0.5 / scale) - np.maximum(left, at[:, None] - 0.5 / scale), 0, None)
+    else:
+        w = np.clip(1 - np.abs(np.clip(at, 0.5, n - 0.5)[:, None] - left - 0.5), 0, None)
+    return w / w.sum(axis=1, keepdims=True)
+
+
+#: What the orientation numbers of images ask for: quarter turns counter-clockwise, after mirroring left and right.
+TURNS = {1: (0, False), 2: (0, True), 3: (2, False), 4: (2, True), 5: (1, True), 6: (3, False), 7: (3, True), 8: (1, False)}
+
+
+def aspect_fill(luma: np.ndarray, side: int, orientation: int = 1) -> np.ndarray:
+    """SRC-11: the middle of an image that fills a square of ``side``, upright."""
+    turns, mirrored = TURNS[orientation]
+    image = np.rot90(luma[:, ::-1] if mirrored else luma, turns)
+    scale = side / min(image.shape)
+    return (_weights(image.shape[0], side, scale) @ image.astype(np.float64) @ _weights(image.shape[1], side, scale).T).astype(np.float32)
+
+
+def thumbnails(images: DataFrame, side: int = Sharpness.side) -> DataFrame:
+    """SRC-11: ``id, luma, reason`` from ``id, luma`` (array), ``width, height, orientation``: a square of ``side`` values a side, upright, cut from the middle.
+
+    An image without pixels is ``imageUnavailable``, one whose pixels do not fit its size or whose orientation is unknown ``thumbnailFailed``; both have
+    a null ``luma``. A null orientation is upright. The result goes into :func:`sharpness`.
+    """
+    ship(images.sparkSession)
+
+    def render(luma, width: int, height: int, orientation: float) -> tuple:
+        if luma is None or width is None or height is None:
+            return None, "imageUnavailable"
+        turn = 1 if orientation is None or orientation != orientation else int(orientation)
+        if turn not in TURNS or width != width or height != height or min(width, height) < 1 or len(luma) != width * height:
+            return None, "thumbnailFailed"
+        return aspect_fill(np.asarray(luma, dtype=np.float32).reshape(int(height), int(width)), side, turn).ravel(), None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            done = [render(*r) for r in zip(pdf["luma"], pdf["width"], pdf["height"], pdf["orientation"], strict=True)]
+            yield pd.DataFrame({"id": pdf["id"], "luma": pd.Series([d[0] for d in done], index=pdf.index, dtype=object), "reason": pd.Series([d[1] for d in done], index=pdf.index, dtype=object)})
+
+    kind = images.schema["id"].dataType.simpleString()
+    return images.select("id", "luma", "width", "height", "orientation").mapInPandas(run, f"id {kind}, luma array<float>, reason string")
+
+
 def sharpness(grids: DataFrame, side: int = Sharpness.side) -> DataFrame:
     """MTH-05: ``id`` and focus measures from ``id, luma`` (array of side * side floats). A grid of another size or a null one has null measures."""
     ship(grids.sparkSession)

@@ -55,9 +55,15 @@ def src_06(t):
     return t.assets.agg(F.lit(256_000_000_000).alias("total_bytes"), (F.lit(256_000_000_000) - F.coalesce(F.sum("size_bytes"), F.lit(0))).alias("available_bytes"))
 
 
-@query("src_07", "SELECT id, coalesce(CASE WHEN size_bytes > 0 THEN size_bytes END, CASE WHEN duration > 0 THEN floor(duration * 1000)::BIGINT END, CASE WHEN width::BIGINT * height > 0 THEN width::BIGINT * height END) AS bytes FROM assets")
+@query("src_07", "SELECT id, CASE WHEN width % 3 = 0 AND size_bytes > 0 THEN size_bytes WHEN (source_mask & 2) <> 0 THEN NULL WHEN floor(duration * 1000) > 0 THEN floor(duration * 1000)::BIGINT WHEN is_hidden THEN NULL WHEN has_adjustments AND width::BIGINT * height > 0 THEN width::BIGINT * height WHEN width > 2000 THEN width WHEN height > 0 THEN height END::BIGINT AS bytes FROM assets")
 def src_07(t):
-    return t.assets.select("id", C.first_positive(F.col("size_bytes"), F.floor(F.col("duration") * 1000), F.col("width").cast("bigint") * F.col("height")).alias("bytes"))
+    """Sizes by five probes, made from columns of the catalog; shared assets are remote, hidden ones have a remote original."""
+    a = {c: F.col(c) for c in ("width", "height")}
+    probes = [
+        F.when(a["width"] % 3 == 0, F.col("size_bytes")), F.floor(F.col("duration") * 1000), C.has_bit(F.col("source_mask"), 1),
+        F.when(F.col("has_adjustments"), a["width"].cast("bigint") * a["height"]), F.col("is_hidden"), F.when(a["width"] > 2000, a["width"]), a["height"],
+    ]
+    return t.assets.select("id", C.size_ladder(*probes).cast("bigint").alias("bytes"))
 
 
 @query("src_08", "WITH s AS (SELECT id, max(size_bytes) AS bytes FROM assets GROUP BY id) SELECT r.asset_id AS id, CASE WHEN bytes IS NULL THEN 'unavailable' ELSE 'measured' END AS outcome, bytes FROM (SELECT DISTINCT asset_id FROM phash_entries) r LEFT JOIN s ON s.id = r.asset_id")

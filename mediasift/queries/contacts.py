@@ -160,7 +160,34 @@ def srt_06(t):
     return t.contact_groups.orderBy("member_ids").select("group_id", F.array_join("member_ids", ",").alias("members"))
 
 
-@query("pln_01")
+_VALUE_KEYS = {
+    "phones": f"CASE WHEN {_PLAIN} THEN list_concat(['s:' || {_DIGITS}], CASE WHEN contains(value, '+') AND length({_DIGITS}) > 10 OR NOT contains(value, '+') AND length({_DIGITS}) = 10 THEN ['n:' || right({_DIGITS}, 10)] ELSE [] END) ELSE ['raw:' || value] END",
+    "emails": "[coalesce(normalized, 'raw:' || value)]",
+}
+
+
+def _appended(c: str) -> str:
+    return f"""
+, {c}_v AS (SELECT group_id, id, d, generate_subscripts({c}, 1) AS pos, coalesce(unnest({c}).value, '') AS value, unnest({c}).normalized AS normalized FROM mem WHERE len({c}) > 0)
+, {c}_l AS (SELECT group_id, list({{'own': id = d, 'value': value, 'keys': {_VALUE_KEYS[c]}}} ORDER BY id, pos) AS ev FROM {c}_v GROUP BY group_id)
+, {c}_f(group_id, ev, k, seen, added) AS (
+  SELECT group_id, ev, 0, []::VARCHAR[], []::VARCHAR[] FROM {c}_l
+  UNION ALL
+  SELECT group_id, ev, k + 1, CASE WHEN NOT ev[k + 1].own AND list_has_any(seen, ev[k + 1].keys) THEN seen ELSE list_concat(seen, ev[k + 1].keys) END,
+    CASE WHEN ev[k + 1].own OR list_has_any(seen, ev[k + 1].keys) THEN added ELSE list_append(added, ev[k + 1].value) END
+  FROM {c}_f WHERE k < len(ev))
+, {c}_r AS (SELECT group_id, array_to_string(added, ';') AS {c} FROM {c}_f WHERE k = len(ev))"""
+
+
+_PLAN_SQL = f"""
+WITH RECURSIVE mm AS (SELECT DISTINCT group_id, unnest(member_ids) AS id FROM contact_groups),
+mem AS (SELECT *, min(id) OVER (PARTITION BY group_id) AS d FROM (SELECT group_id, id, {_T('given')} AS given, {_T('family')} AS family, {_T('organization')} AS organization, phones, emails FROM mm JOIN (SELECT DISTINCT id, given, family, organization, phones, emails FROM contacts) USING (id)))
+{_appended('phones')}{_appended('emails')}
+, n AS (SELECT group_id, list(id ORDER BY id) AS ids, {', '.join(f"[x FOR x IN list({f} ORDER BY id) IF x <> ''] AS {f}s" for f in ('given', 'family', 'organization'))} FROM mem GROUP BY group_id)
+"""
+
+
+@query("pln_01", _PLAN_SQL + "SELECT group_id, ids[1] AS destination_id, array_to_string(ids[2:], ',') AS source_ids, coalesce(phones, '') AS phones, coalesce(emails, '') AS emails, coalesce(givens[1], '') AS given, coalesce(familys[1], '') AS family, coalesce(organizations[1], '') AS organization, array_to_string(list_concat(list_concat(['given=' || givens[1] || '=' || x FOR x IN givens IF x <> givens[1]], ['family=' || familys[1] || '=' || x FOR x IN familys IF x <> familys[1]]), ['organization=' || organizations[1] || '=' || x FOR x IN organizations IF x <> organizations[1]]), ';') AS conflicts FROM n LEFT JOIN phones_r USING (group_id) LEFT JOIN emails_r USING (group_id)")
 def pln_01(t):
     plan = I.merge_plan(t.contacts, t.contact_groups)
     pair = F.transform("conflicts", lambda x: F.concat_ws("=", x["field"], x["kept"], x["not_copied"]))
@@ -211,3 +238,16 @@ def set_09(t):
 @query("fmt_06", "SELECT group_id, replace(replace(array_to_string(reasons, ', '), 'sharedPhone', 'same phone'), 'sharedEmail', 'same email') AS reasons_text FROM contact_groups")
 def fmt_06(t):
     return t.contact_groups.select("group_id", F.array_join(F.transform("reasons", lambda r: F.when(r == "sharedPhone", "same phone").when(r == "sharedEmail", "same email").otherwise(r)), ", ").alias("reasons_text"))
+
+
+@query("pln_04", "WITH m AS (SELECT DISTINCT group_id, unnest(member_ids) AS id FROM contact_groups), k AS (SELECT m.*, c.live FROM m JOIN (SELECT id, bool_or(store_id IS NOT NULL) AS live FROM contacts GROUP BY id) c USING (id)), g AS (SELECT group_id, count(*) - 1 AS planned, bool_and(live) AS fresh FROM k GROUP BY group_id) SELECT group_id, CASE WHEN planned = 0 THEN 'invalidMerge' WHEN NOT fresh THEN 'stale' ELSE 'succeeded' END AS outcome, planned::INT AS planned, CASE WHEN planned > 0 AND fresh THEN planned ELSE 0 END AS removed FROM g")
+def pln_04(t):
+    """Merges executed and verified; contacts without a store have gone since the plans were made."""
+    from ..scratch import Scratch
+
+    scratch = Scratch(t.spark, "merges")
+    plans = scratch.write(I.merge_plan(t.contacts, t.contact_groups))
+    live = t.contacts.where("store_id IS NOT NULL")
+    fresh = I.merge_outcomes(plans, t.contacts, live, live).where("outcome NOT IN ('invalidMerge', 'stale')").select("group_id")
+    after = scratch.write(I.apply_merges(live, plans.join(fresh, "group_id", "left_semi")))
+    return I.merge_outcomes(plans, t.contacts, live, after)

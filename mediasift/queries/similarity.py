@@ -360,6 +360,19 @@ def mth_03(t):
     return t.embeddings.select("vec_id", S.difference_hash(gray).alias("bits"))
 
 
+def _turned(y: str, x: str) -> str:
+    cell = lambda n: f"embedding[({y}) * 16 + ({x}) * 2 + {n}]::DOUBLE"
+    return f"[({cell(1)} + {cell(2)} + {cell(9)} + {cell(10)}) / 4 FOR k IN range(16)]"
+
+
+@query("src_11", f"SELECT id, array_to_string([format('{{:.3f}}', round(v + 2.00003, 3)) FOR v IN luma], ',') AS luma, reason FROM (SELECT vec_id AS id, CASE vec_id % 5 WHEN 0 THEN {_turned('k // 4', 'k % 4')} WHEN 1 THEN {_turned('3 - k // 4', '3 - k % 4')} WHEN 2 THEN {_turned('3 - k % 4', 'k // 4')} WHEN 3 THEN {_turned('k // 4', '3 - k % 4')} END AS luma, CASE WHEN vec_id % 5 = 4 THEN 'thumbnailFailed' END AS reason FROM embeddings)")
+def src_11(t):
+    """Vectors as images of eight by eight, made upright (as they are, turned, turned right, mirrored, unknown) and brought to four by four."""
+    turn = F.element_at(F.array(*map(F.lit, (1, 3, 6, 2, 9))), (F.col("vec_id") % 5 + 1).cast("int"))
+    made = S.thumbnails(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("luma"), F.lit(8).alias("width"), F.lit(8).alias("height"), turn.alias("orientation")), 4)
+    return made.select("id", F.array_join(F.transform("luma", lambda v: F.format_string("%.3f", F.round(v.cast("double") + 2.00003, 3))), ",").alias("luma"), "reason")
+
+
 _PARTS = [0, 1, 2, 385, 768, 769, 770]
 
 

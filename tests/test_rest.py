@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from mediasift.config import Sharpness
 from mediasift.operators import catalog as C
+from mediasift.operators import identity as I
 from mediasift.operators import progress as P
 from mediasift.operators import selection as S
 from mediasift.operators import sharpness as K
@@ -172,3 +173,38 @@ def test_queries_have_callables_and_sql_names(spark):
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.oracle_sql()) > 155
+
+
+def test_aspect_fill_and_sharpness_at_full_size(spark):
+    rng = np.random.default_rng(3)
+    image = rng.random((6, 10), dtype=np.float32)
+    shrunk = K.aspect_fill(image, 3)  # boxes of two by two from the middle six columns
+    assert shrunk == pytest.approx(image[:, 2:8].reshape(3, 2, 3, 2).mean(axis=(1, 3)), abs=1e-6)
+    assert K.aspect_fill(image, 6) == pytest.approx(image[:, 2:8], abs=1e-6)
+    assert K.aspect_fill(np.full((2, 3), 0.4), 256) == pytest.approx(np.full((256, 256), 0.4), abs=1e-6)
+    marked = np.zeros((4, 4), dtype=np.float32)
+    marked[0, 0] = 1
+    corners = {o: tuple(int(x) for x in np.argwhere(K.aspect_fill(marked, 4, o) > 0.5)[0]) for o in range(1, 9)}
+    assert corners == {1: (0, 0), 2: (0, 3), 3: (3, 3), 4: (3, 0), 5: (0, 0), 6: (0, 3), 7: (3, 3), 8: (3, 0)}
+    checks = (np.indices((300, 400)).sum(axis=0) // 4 % 2).astype(float)
+    rows = [("sharp", checks.ravel().tolist(), 400, 300, 1), ("flat", [0.5] * 120, 12, 10, None), ("short", [0.5] * 7, 3, 3, 1), ("turned", [0.5] * 9, 3, 3, 11), ("none", None, 3, 3, 1)]
+    df = spark.createDataFrame(rows, "id string, luma array<double>, width int, height int, orientation int")
+    made = K.thumbnails(df)
+    assert {r.id: r.reason for r in made.collect()} == {"sharp": None, "flat": None, "short": "thumbnailFailed", "turned": "thumbnailFailed", "none": "imageUnavailable"}
+    verdicts = {r.id: r.v for r in K.sharpness(made).select("id", K.verdict().alias("v")).collect()}
+    assert verdicts["sharp"] == "sharp" and verdicts["flat"] == verdicts["none"] == "insufficientInformation"
+
+
+def test_merges_are_verified(spark, rows):
+    contact = "id string, given string, family string, organization string, phones array<struct<label string, value string, normalized string>>, emails array<struct<label string, value string, normalized string>>"
+    v = lambda *xs: [("x", x, None) for x in xs]
+    people = [(i, "Ann", None, None, v(f"555000{i}"), v(f"{i}@x")) for i in "1234567"]
+    reviewed = spark.createDataFrame(people, contact)
+    groups = spark.createDataFrame([("ok", ["1", "2"]), ("changed", ["3", "4"]), ("lost", ["5", "6"]), ("alone", ["7"])], "group_id string, member_ids array<string>")
+    plans = I.merge_plan(reviewed, groups)
+    live = spark.createDataFrame([p if p[0] != "4" else (*p[:1], "Bea", *p[2:]) for p in people], contact)
+    after = I.apply_merges(live, plans.where("group_id IN ('ok', 'lost')"))
+    assert [x.value for x in after.where("id = '1'").first().phones] == ["5550001", "5550002"]
+    spoilt = after.withColumn("emails", F.when(F.col("id") == "5", F.array().cast(after.schema["emails"].dataType)).otherwise(F.col("emails")))
+    got = {r.group_id: (r.outcome, r.planned, r.removed) for r in I.merge_outcomes(plans, reviewed, live, spoilt).collect()}
+    assert got == {"ok": ("succeeded", 1, 1), "changed": ("stale", 1, 0), "lost": ("verificationFailed", 1, 0), "alone": ("invalidMerge", 0, 0)}
