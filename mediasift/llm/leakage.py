@@ -284,7 +284,7 @@ def _cut(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text: str = "text", min_score: float = 0.3, edited: bool = True, block_units: int = BLOCK_UNITS) -> DataFrame:
+def find_leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text: str = "text", min_score: float = 0.4, edited: bool = True, block_units: int = BLOCK_UNITS) -> DataFrame:
     """``doc_id, item_id, score, longest_run, verbatim``: the items of which each document holds a part.
 
     ``score`` is the alignment score as a part of the item's own; a pair is reported from ``min_score`` on, or if the score is that of 12
