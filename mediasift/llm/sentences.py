@@ -262,11 +262,19 @@ class _Document:
             return own
         return len(key) <= 1 or key in self.types or "." in key and all(len(x) <= 2 for x in key.split("."))
 
+    def _token(self, at: int) -> str:
+        """What stands before ``at`` without a blank or an opening mark."""
+        text, width, begin = self.text, 64, 0
+        while not begin and width < 8 * at + 64:
+            low = max(0, at - width)
+            begin = max(text.rfind(" ", low, at), text.rfind("\n", low, at)) + 1
+            width *= 8
+        return TOKEN.search(text, begin, at).group()
+
     def period_ends(self, at: int, after: int, limit: int) -> bool:
         """Whether the period at ``at`` ends a sentence; ``after`` is the next character that is not blank."""
         text, model = self.text, self.model
-        token = TOKEN.search(text, max(0, at - 40), at)
-        token = token.group() if token else ""
+        token = self._token(at)
         word = WORD.match(text, after, min(limit, after + 40))
         word = word.group() if word else ""
         low = _starts_low(word)
@@ -394,6 +402,8 @@ class _Document:
     def _is_end(self, kind: str, at: int, end: int, after: int, lead: int, b: int) -> bool:
         text = self.text
         following = text[after]
+        if kind == ".":  # Latin terminators need a blank after them
+            return end != after and (self._period_before_opener(at, b) if following in "“„«\"'(¿¡[" else self.period_ends(at, after, b))
         word = WORD.match(text, after, min(b, after + 40))
         low = bool(word) and _starts_low(word.group())
         if kind == "\n":
@@ -413,18 +423,15 @@ class _Document:
         if any(c in HARD for c in kind):
             return following not in ",，、;；" or low
         if end == after:  # Latin terminators need a blank after them
-            return bool(HAS_CJK.match(following)) and kind != "." and "…" not in kind and ".." not in kind
+            return bool(HAS_CJK.match(following)) and "…" not in kind and ".." not in kind
         if "…" in kind or ".." in kind:
             if word and not low and (word.group()[:1].isupper() or CAMEL.match(word.group())):
                 return True
             return following in "“„«(¿¡" or word is not None and word.group() in self.model.starters
-        if kind == ".":
-            return self.period_ends(at, after if word or following not in "“„«\"'(¿¡[" else after + 1, b) if word or following not in "“„«\"'(¿¡[" else self._period_before_opener(at, b)
         return True
 
     def _period_before_opener(self, at: int, b: int) -> bool:
-        token = TOKEN.search(self.text, max(0, at - 40), at)
-        token = token.group() if token else ""
+        token = self._token(at)
         if not token or token.isdigit() or not self.abbreviation(token):
             return True
         return self.types.get(token.lower(), False)
