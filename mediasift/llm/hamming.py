@@ -18,6 +18,7 @@ Two kinds of records:
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 from math import comb
 
@@ -87,7 +88,6 @@ def near_patterns(patterns: DataFrame, max_distance: int = 6, bucket_rows: int =
     n, order = row[0], global_order(list(row)[1:], row[0])
     agree = agree_for(max(n, 1), max_distance)
     masks = cut_order(order, max_distance + agree)
-    lead = signed(sum(1 << p for p in order[: BITS // 2]))
     ways = [sum(c) for c in combinations(masks, agree)]
     rows = classes.select("bits", F.explode(F.array(*[F.lit(signed(m)) for m in ways])).alias("mask"))
     met: DataFrame | None = None
@@ -99,7 +99,7 @@ def near_patterns(patterns: DataFrame, max_distance: int = 6, bucket_rows: int =
             hot = scratch.write(keyed.groupBy("bucket").count().where(F.col("count") > bucket_rows).select("bucket"))
             hot = None if hot.isEmpty() else hot
         calm = keyed if hot is None else keyed.join(hot, "bucket", "left_anti")
-        here = scratch.write(pairs_in_buckets(calm.select("bucket", F.col("bits").alias("item")), _near_in(lead, max_distance), "bits_a", "bits_b"))
+        here = pairs_in_buckets(calm.select("bucket", F.col("bits").alias("item")), _within(max_distance), "bits_a", "bits_b", _leading(order))
         met = here if met is None else met.unionByName(here)
         if hot is None:
             break
@@ -107,7 +107,8 @@ def near_patterns(patterns: DataFrame, max_distance: int = 6, bucket_rows: int =
         # The masks of a level are those of the level before, each cut into max_distance + 1 pieces: their number does not depend on the data.
         finer = [(r["mask"], signed((r["mask"] & (2**BITS - 1)) | piece)) for r in crowded.select("mask").distinct().collect() for piece in _pieces(r["mask"], order, max_distance)]
         rows = crowded.join(F.broadcast(spark.createDataFrame(finer, "mask bigint, finer bigint")), "mask").select("bits", F.col("finer").alias("mask"))
-    overlaps = sum_overlaps(met.distinct(), "bits_a", "bits_b", _segment_overlaps(masks))
+    met = scratch.write(met.distinct())
+    overlaps = sum_overlaps(met, "bits_a", "bits_b", _segment_overlaps(masks))
     return overlaps.where(F.col("overlap") >= BITS - max_distance).select("bits_a", "bits_b")
 
 
@@ -117,9 +118,21 @@ def _pieces(mask: int, order: list[int], max_distance: int) -> list[int]:
     return [sum(1 << p for p in rest[i :: max_distance + 1]) for i in range(max_distance + 1)]
 
 
-def _near_in(lead: int, max_distance: int) -> Accept:
-    mask = np.uint64(lead & (2**BITS - 1))
-    return lambda x, y: np.bitwise_count((x ^ y) & mask) <= max_distance
+def _leading(order: list[int]) -> Callable[[np.ndarray], np.ndarray]:
+    """The leading half of the order as 32-bit numbers."""
+    lead = order[: BITS // 2]
+
+    def pack(bits: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(bits), dtype=np.uint32)
+        for i, p in enumerate(lead):
+            out |= ((bits >> np.uint64(p)) & np.uint64(1)).astype(np.uint32) << np.uint32(i)
+        return out
+
+    return pack
+
+
+def _within(max_distance: int) -> Accept:
+    return lambda x, y: np.bitwise_count(x ^ y) <= max_distance
 
 
 def near_assets(entries: DataFrame, asset: str = "asset_id", bits: str = "bits", max_distance: int = 6) -> DataFrame:
