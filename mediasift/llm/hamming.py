@@ -162,11 +162,15 @@ def near_classes(entries: DataFrame, asset: str = "asset_id", bits: str = "bits"
     return members.join(links, "class_bits", "left").select("asset", "class_bits", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
-def shingles(text: Column, n: int = 5) -> Column:
-    """The different runs of ``n`` words of a text (letters and digits, lower case); a text of fewer words is one run. Null and wordless texts give none."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{Nd}]+"), lambda w: w != "")
-    runs = F.when(F.size(words) <= n, F.array(F.array_join(words, " "))).otherwise(F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " ")))
-    return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
+def words_of(text: Column) -> Column:
+    """Runs of letters, marks and digits, lower case; null gives none."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{Nd}]+"), lambda w: w != "")
+
+
+def shingles(words: Column, n: int = 5) -> Column:
+    """64-bit hashes of the different runs of ``n`` words, sorted; fewer words are one run. ``words`` must be a stored column: it is looked up for every run."""
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, n), " ")))
+    return F.array_sort(F.array_distinct(runs))
 
 
 def near_sets(sets: DataFrame, similarity: float = 0.8, fragments: int = 8) -> DataFrame:
@@ -178,7 +182,9 @@ def near_sets(sets: DataFrame, similarity: float = 0.8, fragments: int = 8) -> D
     overlaps of their segments are counted by fragment and summed. Empty sets and null records are near nothing.
     """
     scratch = Scratch(sets.sparkSession, "sets")
-    flat = sets.where("rec IS NOT NULL").select("rec", F.size(F.array_distinct("tokens")).alias("size"), F.explode(F.array_distinct("tokens")).alias("token")).where("token IS NOT NULL")
+    # Stored, so that what is made of a whole set is not made again for each of its tokens.
+    whole = scratch.write(sets.where("rec IS NOT NULL").select("rec", F.array_distinct(F.array_compact("tokens")).alias("tokens")).withColumn("size", F.size("tokens")))
+    flat = whole.select("rec", "size", F.explode("tokens").alias("token"))
     frequency = flat.groupBy("token").agg(F.count("*").alias("df"))
     # Ties of the frequency are broken by a hash, as a fraction, so the order is one number.
     place = F.col("df") + F.pmod(F.xxhash64("token"), F.lit(1 << 20)) / F.lit(float(1 << 20))
@@ -207,12 +213,13 @@ def near_sets(sets: DataFrame, similarity: float = 0.8, fragments: int = 8) -> D
 def near_texts(documents: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(id_col, class_id, n_links)``: each document with the smallest document of the same set of ``words``-word runs, and how many other classes are near its class.
 
-    Copies are compared once. Documents without words have no row; null identifiers are left out, a
+    Copies are compared once. Runs are compared by 64-bit hashes. Documents without words have no row; null identifiers are left out, a
     repeated row counts once, and of different texts under one identifier each has a row.
     """
     scratch = Scratch(documents.sparkSession, "texts")
-    sets = documents.select(F.col(id_col).alias("doc"), F.array_sort(shingles(F.col(text), words)).alias("tokens")).where("doc IS NOT NULL AND size(tokens) > 0")
-    sets = scratch.write(sets.withColumn("key", F.sha2(F.array_join("tokens", "\n"), 256)))
+    stated = scratch.write(documents.select(F.col(id_col).alias("doc"), words_of(F.col(text)).alias("words")).where("doc IS NOT NULL"))
+    made = scratch.write(stated.where("size(words) > 0").select("doc", shingles(F.col("words"), words).alias("tokens")))
+    sets = scratch.write(made.withColumn("key", F.sha2(F.array_join(F.col("tokens").cast("array<string>"), ","), 256)))
     classes = scratch.write(sets.groupBy("key").agg(F.min("doc").alias("class_id"), F.any_value("tokens").alias("tokens")))
     pairs = near_sets(classes.select(F.col("key").alias("rec"), "tokens"), similarity)
     links = pairs.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
