@@ -12,6 +12,7 @@ from ..config import KEY_CAP
 from ..functions.normalize import email_key, group_id, name_key, phone_keys
 from ..scratch import Scratch
 from ..ship import ship
+from ..skew import join_on_hot_key
 
 REASONS = {"phone": "sharedPhone", "email": "sharedEmail", "name": "sharedNameAndOrganization"}
 
@@ -52,19 +53,24 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """GRF-03: ``id, root`` of every linked identifier; the root is the smallest of its component.
 
     Each round takes the smallest root among neighbours and then the root of that
-    root, so chains shorten by halves; rounds are written to the scratch folder.
+    root, so chains shorten by halves; rounds are written to the scratch folder. Vertices with very
+    many neighbours and roots with very many members are salted.
     """
     both = scratch.write(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = scratch.write(both.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "id"))
+    n_both = both.count()
+    labels = scratch.write(both.groupBy("a").agg(F.least("a", F.min("b")).alias("root"), F.count("*").alias("n")).withColumnRenamed("a", "id"))
+    n_labels = labels.count()
     while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("root").alias("near")).withColumnRenamed("a", "id")
-        lower = labels.join(near, "id").select("id", F.col("root").alias("was"), F.least("root", "near").alias("root"))
+        told = join_on_hot_key(both, labels.withColumnRenamed("id", "b"), ["b"], "n", n_both, "a").select("a", "root")
+        near = told.groupBy("a").agg(F.min("root").alias("near")).withColumnRenamed("a", "id")
+        lower = scratch.write(labels.join(near, "id").select("id", "n", F.col("root").alias("was"), F.least("root", "near").alias("root")))
         up = lower.select(F.col("id").alias("root"), F.col("root").alias("above"))
-        after = scratch.write(lower.join(up, "root", "left").select("id", "was", F.coalesce("above", "root").alias("root")))
+        roots = lower.groupBy("root").agg(F.count("*").alias("members")).join(up, "root", "left")
+        after = scratch.write(join_on_hot_key(lower, roots, ["root"], "members", n_labels, "id").select("id", "n", "was", F.coalesce("above", "root").alias("root")))
         if after.where("root <> was").isEmpty():
             return after.select("id", "root")
-        scratch.drop(labels)
-        labels = after.select("id", "root")
+        scratch.drop(labels, lower)
+        labels = after.select("id", "root", "n")
 
 
 def duplicate_groups(contacts: DataFrame, cap: int = KEY_CAP) -> DataFrame:

@@ -1,4 +1,5 @@
 from mediasift.operators import identity as I
+from mediasift.scratch import Scratch
 from mediasift.sources.readers import CONTACT
 
 v = lambda *xs: [("home", x, None) for x in xs]
@@ -46,3 +47,12 @@ def test_merge_plan(spark):
     assert (p.destination_id, p.source_ids, p.phones, p.emails) == ("a", ["b", "c"], ["555-0002", "none"], ["b@x", "odd"])
     assert (p.given, p.family, p.organization) == ("Siri", "Ekberg", "Lab")
     assert [tuple(x) for x in p.conflicts] == [("given", "Siri", "Sira"), ("family", "Ekberg", "Ekber")]
+
+
+def test_components_of_chains_and_hubs(spark, rows, monkeypatch):
+    edges = spark.createDataFrame([(f"c{i:03}", f"c{i + 1:03}") for i in range(70)] + [("hub", f"s{i:03}") for i in range(120)] + [("x", "x")], "a string, b string")
+    expected = sorted([(f"c{i:03}", "c000") for i in range(71)] + [("hub", "hub")] + [(f"s{i:03}", "hub") for i in range(120)], key=str)
+    assert rows(I.components(edges, Scratch(spark, "t"))) == expected
+    plain = I.join_on_hot_key  # and with keys salted from ten rows on
+    monkeypatch.setattr(I, "join_on_hot_key", lambda *a: plain(*a, salts=4, least=10))
+    assert rows(I.components(edges, Scratch(spark, "t"))) == expected
