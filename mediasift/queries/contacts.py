@@ -194,22 +194,29 @@ def pln_01(t):
     return plan.select("group_id", "destination_id", F.array_join("source_ids", ",").alias("source_ids"), F.array_join("phones", ";").alias("phones"), F.array_join("emails", ";").alias("emails"), "given", "family", "organization", F.array_join(pair, ";").alias("conflicts"))
 
 
-_LATER = "SELECT id, max(coalesce(family, '')) AS live FROM contacts GROUP BY id"
+_FIELDS = ["given", "family", "organization"]
+_LIVE = " UNION ALL ".join(f"SELECT id, '{f}' AS field, max(coalesce({f}, '')) AS live FROM contacts WHERE id IS NOT NULL GROUP BY id" for f in _FIELDS)
 
 
-@query("joi_13", f"SELECT destination_id AS id, CASE WHEN live IS NULL THEN 'missing' WHEN live <> kept THEN 'changed' END AS drift FROM (SELECT DISTINCT destination_id, kept FROM merge_conflicts WHERE field = 'family') LEFT JOIN ({_LATER}) ON id = destination_id WHERE live IS NULL OR live <> kept")
+def stated(t) -> DataFrame:
+    """``id, field, value`` of every contact and name field."""
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(f, F.lit("")).alias("value")) for f in _FIELDS])
+    return t.contacts.where("id IS NOT NULL").select("id", F.explode(pairs).alias("x")).select("id", "x.field", "x.value")
+
+
+@query("joi_13", f"SELECT p.destination_id AS id, p.field, CASE WHEN live IS NULL THEN 'missing' WHEN live <> kept THEN 'changed' END AS drift FROM (SELECT DISTINCT destination_id, field, kept FROM merge_conflicts) p LEFT JOIN ({_LIVE}) l ON l.id = p.destination_id AND l.field = p.field WHERE live IS NULL OR live <> kept")
 def joi_13(t):
-    """Planned rows against the live ones: missing, or changed since."""
-    live = t.contacts.groupBy("id").agg(F.max(F.coalesce("family", F.lit(""))).alias("live"))
-    planned = t.merge_conflicts.where("field = 'family'").select(F.col("destination_id").alias("id"), "kept").distinct()
-    return planned.join(live, "id", "left").where("live IS NULL OR live <> kept").select("id", F.when(F.col("live").isNull(), "missing").otherwise("changed").alias("drift"))
+    """Planned values against the live ones: missing, or changed since."""
+    live = stated(t).groupBy("id", "field").agg(F.max("value").alias("live"))
+    planned = t.merge_conflicts.select(F.col("destination_id").alias("id"), "field", "kept").distinct()
+    return planned.join(live, ["id", "field"], "left").where("live IS NULL OR live <> kept").select("id", "field", F.when(F.col("live").isNull(), "missing").otherwise("changed").alias("drift"))
 
 
-@query("joi_14", "SELECT group_id, source_id, bool_or(coalesce(c.family = m.not_copied OR c.given = m.not_copied, false)) AS is_present FROM (SELECT DISTINCT group_id, source_id, not_copied FROM merge_conflicts WHERE field <> 'organization') m LEFT JOIN (SELECT DISTINCT id, given, family FROM contacts) c ON c.id = m.source_id GROUP BY ALL")
+@query("joi_14", "SELECT group_id, source_id, bool_or(coalesce(c.family = m.not_copied OR c.given = m.not_copied OR c.organization = m.not_copied, false)) AS is_present FROM (SELECT DISTINCT group_id, source_id, not_copied FROM merge_conflicts) m LEFT JOIN (SELECT DISTINCT id, given, family, organization FROM contacts) c ON c.id = m.source_id GROUP BY ALL")
 def joi_14(t):
     """Whether a value that should be there is, by overlap of its keys with the contact's."""
-    wanted = t.merge_conflicts.where("field <> 'organization'").select("group_id", F.col("source_id").alias("id"), "not_copied").distinct()
-    have = t.contacts.select("id", F.array("given", "family").alias("have")).distinct()
+    wanted = t.merge_conflicts.select("group_id", F.col("source_id").alias("id"), "not_copied").distinct()
+    have = t.contacts.select("id", F.array(*_FIELDS).alias("have")).distinct()
     return wanted.join(have, "id", "left").groupBy("group_id", F.col("id").alias("source_id")).agg(F.max(F.coalesce(F.arrays_overlap("have", F.array("not_copied")), F.lit(False))).alias("is_present"))
 
 
