@@ -74,9 +74,9 @@ def hsh_02(t):
     return t.contact_groups.select(F.array_join("member_ids", ",").alias("members"), N.group_id(F.col("member_ids")).alias("computed_id"))
 
 
-@query("hsh_03", "SELECT media_type, count(DISTINCT id) || '|' || string_agg(DISTINCT id, ',' ORDER BY id) AS signature FROM assets WHERE media_type <> 'image' GROUP BY media_type")
+@query("hsh_03", "SELECT media_type, count(DISTINCT id) || '|' || string_agg(DISTINCT id, ',' ORDER BY id) AS signature FROM assets GROUP BY media_type")
 def hsh_03(t):
-    return t.assets.where("media_type <> 'image'").groupBy("media_type").agg(N.set_signature(F.collect_set("id")).alias("signature"))
+    return t.assets.groupBy("media_type").agg(N.set_signature(F.collect_set("id")).alias("signature"))
 
 
 @query("hsh_04", "SELECT string_agg(DISTINCT group_id, ';' ORDER BY group_id) AS signature FROM contact_groups")
